@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import bpe, licences, near_dup, quality, repeats
+from sievelake.llm import bpe, licences, near_dup, pii, quality, repeats
 from sievelake.runtime import table
 
 
@@ -12,6 +12,10 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -28,5 +32,5 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op4_near_duplicates, op6_byte_bpe, op9_quality, op10_licences)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_pii, op4_near_duplicates, op6_byte_bpe, op9_quality, op10_licences)}
 ORACLE_SQL: dict[str, str] = {}
