@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import bpe, langid, licences, near_dup, pii, quality, repeats
+from sievelake.llm import bpe, langid, licences, near_dup, pages, pii, quality, repeats
 from sievelake.runtime import table
 
 
@@ -20,6 +20,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), *bpe.default_vocabulary(), ids=False)
 
@@ -36,5 +40,5 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_pii, op4_near_duplicates, op6_byte_bpe, op7_language_id, op9_quality, op10_licences)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_pii, op4_near_duplicates, op5_main_text, op6_byte_bpe, op7_language_id, op9_quality, op10_licences)}
 ORACLE_SQL: dict[str, str] = {}
