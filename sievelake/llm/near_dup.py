@@ -4,13 +4,15 @@ Texts with the same shingle set form a class; only its document of the smallest
 id goes on. One pass hashes every shingle once: the top bits choose one of
 BINS bins, the rest compete for the bin's minimum, and an empty bin borrows
 from a bin that its own probe sequence hits first (optimal densification).
-BANDS bands of ROWS bins give bucket keys. In a bucket, every member is paired
-with the bucket's smallest id only (a star), so a bucket of m members makes
-m - 1 pairs. Pairs are confirmed on the full sets. Where confirmed links leave
-a bucket in several components, the bucket gets a further star from its next
-member, or all its remaining pairs once it has at most SMALL members, until
-each bucket is in one component or every member has been a centre; so no link
-that shares a bucket is lost. A link of similarity 0.8 misses all buckets with
+BANDS bands of ROWS bins give bucket keys. A bucket's centre is its smallest id
+and every document is paired with the smallest of its buckets' centres only, so
+there is a candidate edge for each document at most. Edges are confirmed on the
+full sets, and make components. Where a bucket still holds several components,
+its members outside the largest are held against all members of other
+components, block by block, by set size and by a parity bitmap, whose Hamming
+distance never exceeds the sets' difference: what these bounds leave is
+confirmed on the full sets too. So no link that shares a bucket is lost, and pairs
+inside a component are never made. A link of similarity 0.8 misses all buckets with
 probability (1 - 0.8**ROWS)**BANDS, under 1e-5.
 """
 
@@ -29,7 +31,8 @@ from sievelake.runtime import cut
 
 BINS, ROWS = 512, 8
 BANDS = BINS // ROWS
-SMALL = 6
+#: Members of a block, rows of a group of blocks, bits of the parity bitmap.
+BLOCK, GROUP_ROWS, BITS = 512, 20_000, 512
 PROBES = 64
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -67,7 +70,7 @@ def signatures(h: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, c1, c2, bands) per row: set size, two order-free digests of the set, and the bucket keys."""
+    """(doc_id, n, c1, c2, bands, bits) per row: set size, two order-free digests of the set, the bucket keys and the parity bitmap."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +87,11 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
                 sig = A.mix(signatures(h, rows, m) + factors)
                 bands = A.mix(sig.reshape(m, BANDS, ROWS).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (m + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, m), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), keys], ["doc_id", "n", "c1", "c2", "bands"])
+                bits = pa.array([x.tobytes() for x in _bitmaps(h, rows, m)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, m), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), keys, bits], ["doc_id", "n", "c1", "c2", "bands", "bits"])
 
     A.tune(docs.sparkSession)
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n long, c1 long, c2 long, bands array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n long, c1 long, c2 long, bands array<long>, bits binary")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -103,17 +107,60 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hashes array<long>")
 
 
-def _confirmed(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    a, b = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    near = cut(pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "na", "nb"))
+def _bitmaps(h: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """Parity of the hashes in each of BITS cells, as BITS / 8 bytes per row."""
+    cell = rows * BITS + (A.mix(h) >> np.uint64(55)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=n_rows * BITS) & 1).astype(bool).reshape(n_rows, BITS), axis=1)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, na, nb) whose full sets have 100 * intersection >= percent * union."""
+    near = cut(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(full_sets(texts.join(ids, "doc_id", "left_semi"), k))
+    sets = full_sets(texts.join(ids, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"])
+    sets = cut(sets)
     left = near.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b").withColumn("i", F.size(F.array_intersect("ha", "hb")).cast("long"))
     return cut(both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"))
 
 
+def _across(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of live bucket members (key, doc_id, c, n, bits) in different components that size and bitmap allow."""
+    kind = live.schema["doc_id"].dataType.simpleString()
+    by = live.groupBy("key", "c").agg(F.count(F.lit(1)).alias("w"))
+    most = by.groupBy("key").agg(F.sum("w").alias("m"), F.max(F.struct("w", "c")).alias("top"))
+    most = most.select("key", F.col("top.c").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("m") - F.col("top.w")) / BLOCK).cast("int").alias("no"))
+    rows = live.join(most, "key").withColumn("h", F.xxhash64("doc_id"))
+    out = rows.where("c <> top").select("key", F.pmod("h", "no").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(1).alias("side"), "doc_id", "c", "n", "bits")
+    all_ = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("i"), F.pmod("h", "nb").cast("int").alias("j"), F.lit(0).alias("side"), "doc_id", "c", "n", "bits")
+
+    def held(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("side", "ascending")])
+        key, i, j, side, n = (t[x].to_numpy() for x in ("key", "i", "j", "side", "n"))
+        _, c = np.unique(t["c"].to_numpy(), return_inverse=True)
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(edge, np.append(edge[1:], len(key)), strict=True):
+            m = s + int(np.searchsorted(side[s:e], 1))
+            for r in range(m, e):
+                other = slice(s, m)
+                ok = (c[other] != c[r]) & (np.minimum(n[other], n[r]) * 100 >= np.maximum(n[other], n[r]) * percent)
+                at = np.flatnonzero(ok) + s
+                if len(at):
+                    far = np.bitwise_count(bits[at] ^ bits[r]).sum(axis=1, dtype=np.int64)
+                    at = at[far * (100 + percent) <= (n[at] + n[r]) * (100 - percent)]
+                    x.append(np.full(len(at), r))
+                    y.append(at)
+        x, y = np.concatenate(x), np.concatenate(y)
+        return pa.table({"a": t["doc_id"].take(pa.array(x)), "b": t["doc_id"].take(pa.array(y)), "na": pa.array(n[x]), "nb": pa.array(n[y])})
+
+    groups = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-live.count() // GROUP_ROWS)))).alias("g")
+    found = out.unionByName(all_).groupBy(groups).applyInArrow(held, f"a {kind}, b {kind}, na long, nb long")
+    flip = F.col("a") > F.col("b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
@@ -128,33 +175,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sk = cut(sketches(texts, k))
     some = sk.where("n > 0")
-    reps = cut(some.groupBy("c1", "c2", "n").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id")))
-    sizes = reps.select("doc_id", "n")
-    keys = reps.select(F.explode("bands").alias("key"), "doc_id")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    reps = cut(some.groupBy("c1", "c2", "n").agg(F.min_by(F.struct("bands", "bits"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id")).select("c1", "c2", "n", "doc_id", "s.bands", "s.bits"))
+    keys = reps.select(F.explode("bands").alias("key"), "doc_id", "n")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "n")).alias("a")).where("m > 1").select("key", "a")
     members = cut(keys.join(shared, "key"))
-    stars = members.groupBy("key").agg(F.min("doc_id").alias("a"))
-    pairs = members.join(stars, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = _confirmed(pairs, sizes, texts, k, percent)
+    stars = members.groupBy(F.col("doc_id").alias("b"), F.col("n").alias("nb")).agg(F.min("a").alias("a")).where("b <> a.doc_id").select(F.col("a.doc_id").alias("a"), "b", F.col("a.n").alias("na"), "nb")
+    links = _confirmed(stars, texts, k, percent)
     comp = cut(connected_components(links, "a", "b"))
-    rest = members.join(stars, "key").where("doc_id <> a").select("key", "doc_id", F.col("a").alias("was"))
-    tried = pairs
-    # A bucket whose members, its former centres included, are in several components goes on.
-    while True:
-        seen = rest.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        open_ = seen.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("a")).where("lo <> hi")
-        live = cut(seen.join(open_, "key").select("key", "doc_id", "c", "m", "a"))
-        if not live.limit(1).count():
-            break
-        star = live.where(F.col("m") > SMALL).join(live.where("doc_id = a").select("key", F.col("c").alias("ca")), "key").where("doc_id <> a AND c <> ca").select("a", F.col("doc_id").alias("b"))
-        few = live.where(F.col("m") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("doc_id", "c")).alias("x"))
-        two = few.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q")).where("p.doc_id < q.doc_id AND p.c <> q.c").select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
-        more = cut(star.unionByName(two).distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = more.unionByName(tried)
-        if more.limit(1).count():
-            links = links.unionByName(_confirmed(more, sizes, texts, k, percent))
-            comp = cut(connected_components(links, "a", "b"))
-        rest = live.where(F.col("m") > SMALL).where("doc_id <> a").select("key", "doc_id")
+    placed = members.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    live = cut(placed.join(open_, "key").join(reps.select("doc_id", "bits"), "doc_id"))
+    more = _confirmed(_across(live, percent), texts, k, percent)
+    if more.limit(1).count():
+        comp = cut(connected_components(links.unionByName(more), "a", "b"))
     final = reps.select("c1", "c2", "n", F.col("doc_id").alias("id")).join(comp, "id", "left").select("c1", "c2", "n", F.coalesce("component", "id").alias("component_id"))
     joined = some.select("doc_id", "n", "c1", "c2").join(final, ["c1", "c2", "n"]).select("doc_id", "n", "component_id")
     out = joined.unionByName(sk.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
