@@ -21,7 +21,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     task's memory. Null ends and self loops add no edge. No edges: no rows.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
-    e = cut(e)
     before = _digest(e)
     for _ in range(max_rounds):
         if not before[0]:
