@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import bpe, langid, licences, near_dup, pages, pii, quality, repeats
+from sievelake.llm import bpe, fingerprints, langid, licences, near_dup, pages, pii, quality, repeats
 from sievelake.runtime import table
 
 
@@ -32,6 +32,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
@@ -40,5 +44,5 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_pii, op4_near_duplicates, op5_main_text, op6_byte_bpe, op7_language_id, op9_quality, op10_licences)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_pii, op4_near_duplicates, op5_main_text, op6_byte_bpe, op7_language_id, op8_fingerprints, op9_quality, op10_licences)}
 ORACLE_SQL: dict[str, str] = {}
