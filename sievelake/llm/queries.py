@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import bpe, fingerprints, langid, licences, near_dup, pages, pii, quality, repeats
+from sievelake.llm import bpe, fingerprints, langid, leaks, licences, near_dup, pages, pii, quality, repeats
 from sievelake.runtime import table
 
 
@@ -16,6 +16,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -44,5 +48,5 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_pii, op4_near_duplicates, op5_main_text, op6_byte_bpe, op7_language_id, op8_fingerprints, op9_quality, op10_licences)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_pii, op3_benchmark_leaks, op4_near_duplicates, op5_main_text, op6_byte_bpe, op7_language_id, op8_fingerprints, op9_quality, op10_licences)}
 ORACLE_SQL: dict[str, str] = {}
