@@ -1,18 +1,35 @@
-"""Corpus pipeline: documents to token ids, each stage written and read again by whoever runs it."""
+"""Corpus pipeline: documents to token ids in five stages, each written and read again by whoever runs it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, near_dup
-from sievelake.runtime import table
+from sievelake.llm import bpe, leaks, near_dup, pii, quality
+from sievelake.runtime import broadcast_if_small, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling draws stay; those that look unlike the good ones go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels").where("quality = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
+    """One document of each group of near copies stays, that of the smallest id. Rows repeated with one id share their fate."""
     found = near_dup.near_duplicates(docs, k=5, percent=80)
-    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    out = found.where("NOT kept").select("doc_id").distinct()
+    return docs.join(broadcast_if_small(out), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return leaks.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that give it away are replaced; every document stays."""
+    out = pii.sanitise(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +37,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, *bpe.default_vocabulary())
 
 
-STAGES = [("near_duplicates", near_duplicates), ("tokens", tokens)]
+STAGES = [("quality", good_quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("pii", sanitised), ("tokens", tokens)]
+#: Hashed models and similarity joins have no SQL form; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
