@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sievelake.plans import q_evidence  # noqa: F401
+from sievelake.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
