@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sievelake.llm import arrays as A
 from sievelake.operators.graph import connected_components
-from sievelake.runtime import cut
+from sievelake.runtime import broadcast_if_small, cut
 
 BINS, ROWS = 512, 8
 BANDS = BINS // ROWS
@@ -117,8 +117,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     """(a, b) of the pairs (a, b, na, nb) whose full sets have 100 * intersection >= percent * union."""
     near = cut(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = full_sets(texts.join(ids, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"])
-    sets = cut(sets)
+    sets = cut(full_sets(texts.join(broadcast_if_small(ids), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]))
     left = near.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b").withColumn("i", F.size(F.array_intersect("ha", "hb")).cast("long"))
     return cut(both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"))
