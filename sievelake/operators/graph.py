@@ -38,3 +38,32 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         before = after
     tops = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(tops).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def resolve_aliases(mapping: DataFrame, max_rounds: int = 20) -> DataFrame:
+    """(name, canonical): each name's last alias, by pointer doubling. A name that maps to itself is its own; names on a cycle stay where doubling leaves them, the smallest seen."""
+    m = mapping.select("name", "alias").where("name IS NOT NULL AND alias IS NOT NULL AND name <> alias").dropDuplicates(["name"])
+    m = cut(m)
+    for _ in range(max_rounds):
+        nxt = m.alias("a").join(m.alias("b"), F.col("a.alias") == F.col("b.name"), "left")
+        step = cut(nxt.select(F.col("a.name").alias("name"), F.when(F.col("b.alias") == F.col("a.name"), F.least("a.name", "a.alias")).otherwise(F.coalesce("b.alias", "a.alias")).alias("alias")))
+        changed = step.join(m, ["name", "alias"], "left_anti").limit(1).count()
+        m = step
+        if not changed:
+            break
+    return m.select("name", F.col("alias").alias("canonical"))
+
+
+def fixpoint(facts: DataFrame, resolvers: list[tuple[str, str, DataFrame]], max_rounds: int = 5) -> DataFrame:
+    """facts (entity, field, value, round) grown by resolvers (needs, gives, lookup of value to result) until a round adds nothing. A fact once known stays."""
+    known = cut(facts.withColumn("round", F.lit(0)))
+    for n in range(1, max_rounds + 1):
+        new = None
+        for needs, gives, look in resolvers:
+            got = known.where(F.col("field") == needs).join(look.select(F.col("key").alias("value"), "result"), "value").select("entity", F.lit(gives).alias("field"), F.col("result").alias("value"), F.lit(n).alias("round"))
+            new = got if new is None else new.unionByName(got)
+        new = cut(new.join(known, ["entity", "field"], "left_anti").groupBy("entity", "field", "round").agg(F.min("value").alias("value")).select("entity", "field", "value", "round"))
+        if not new.limit(1).count():
+            break
+        known = known.unionByName(new)
+    return known

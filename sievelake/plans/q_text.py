@@ -152,9 +152,10 @@ def html_records(pages):
 
 def _bigrams(df, *keys: str):
     """keys and bs: distinct pairs of neighbouring words of column text; the words themselves where there are fewer than two."""
-    w = df.select(*keys, F.filter(F.split(T.norm(F.col("text")), " "), lambda x: x != "").alias("w"))
-    pairs = F.expr("transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))")
-    return w.select(*keys, F.array_distinct(F.when(F.size("w") > 1, pairs).otherwise(F.col("w"))).alias("bs"))
+    words = F.filter(F.split(T.norm(F.col("text")), " "), lambda x: x != "")
+    # One lambda around the words keeps the optimiser from working them out anew for each pair.
+    pairs = F.transform(F.array(words), lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(w))
+    return df.select(*keys, F.array_distinct(pairs[0]).alias("bs"))
 
 
 _W = "list_filter(string_split({0}, ' '), lambda x: x <> '')"
