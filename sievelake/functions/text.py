@@ -68,10 +68,14 @@ def fit(want: Column, got: Column) -> Column:
     return F.when((want == "") | (got == "") | want.isNull() | got.isNull(), 0.0).when(want == got, 1.0).when(F.contains(want, got) | F.contains(got, want), 0.85).otherwise(F.round(jac, 6))
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def sequence_ratio(a: Column | str, b: Column | str) -> Column:
     """Ratcliff-Obershelp ratio, for which there is no SQL; null counts as empty."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
+
+    return run(a, b)
 
 
 def containment(t: Column, l: Column) -> Column:  # noqa: E741
