@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sievelake.llm import arrays as A
 
-MIN, GAP, COVER = 4, 16, 0.6
+MIN, GAP, COVER = 4, 16, 0.5
 #: Fixed: phrases whose place alone names a licence.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Fixed: short notices and opening passages of public licences, (label, words).
