@@ -10,13 +10,14 @@ document frequencies over distinct texts,
 and t discloses e if PMI(e; t) >= IC(e) / ALPHA (of all that e would tell, t
 tells that share). In texts that hold e, such terms are generalised, or removed
 where they tell all of it (PMI >= IC). Pairs seen in fewer than SUPPORT
-distinct texts are chance and never count.
+distinct texts are chance, or copies, and never count.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 REACH, ALPHA, SUPPORT = 8, 1.25, 4
 #: Terms that are counted over the corpus in one pass; more are counted in further passes.
 BLOCK = 500_000
+#: Texts with such terms up to which they are broadcast; more are joined by shuffle.
+TERM_ROWS = 20_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+\Z")
@@ -121,8 +124,8 @@ def pairs(docs: DataFrame, text_col: str) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if text and (spans := base_spans(text)):
                     key = key64(text)
-                    for name, terms in near_terms(text, spans):
-                        rows += [(key, key64(name), key64(t), t) for t in terms] + [(key, key64(name), 0, "")]
+                    said = {(key64(name), t) for name, terms in near_terms(text, spans) for t in (*terms, "")}
+                    rows += [(key, e, key64(t) if t else 0, t) for e, t in said]
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["text_key", "entity", "term", "word"])
 
@@ -130,35 +133,33 @@ def pairs(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, words: list[str], text_col: str) -> DataFrame:
-    """(term, n_t): in how many distinct texts each of the words stands."""
+    """(term, n_t): in how many rows each of the words stands. A batch of rows gives each word it has once, with a count."""
     look = {w: key64(w) for w in words}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
         for batch in batches:
-            keys, terms = [], []
             for text in batch.column(0).to_pylist():
-                if text and (hit := look.keys() & set(_TERM.findall(text.lower()))):
-                    key = key64(text)
-                    keys += [key] * len(hit)
-                    terms += [look[w] for w in hit]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms, pa.int64())], ["text_key", "term"])
+                if text:
+                    total.update(look.keys() & set(_TERM.findall(text.lower())))
+        yield pa.RecordBatch.from_arrays([pa.array([look[w] for w in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "text_key long, term long").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, risk): terms that disclose an entity, with PMI / IC. All counts are over distinct texts of the whole table."""
-    seen = cut(pairs(docs, text_col).distinct())
-    n = docs.where(F.length(text_col) > 0).select(F.xxhash64(text_col)).distinct().count()
-    n_e = seen.where("term = 0 AND word = ''").groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
-    n_et = seen.where("word <> ''").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("word").alias("word")).where(F.col("n_et") >= support)
+    """(entity, term, risk): terms that disclose an entity, with PMI / IC. All counts are over the whole table."""
+    seen = cut(pairs(docs, text_col))
+    n = docs.where(F.length(text_col) > 0).count()
+    texts = F.countDistinct("text_key").alias("texts")
+    n_e = seen.where("word = ''").groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), texts).where(F.col("texts") >= support).drop("texts")
+    n_et = seen.where("word <> ''").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("word").alias("word"), texts).where(F.col("texts") >= support).drop("texts")
     both = cut(n_et.join(n_e, "entity"))
-    counted = None
     vocab = cut(both.select("term", "word").distinct())
     blocks = max(1, -(-vocab.count() // BLOCK))
+    counted = None
     for b in range(blocks):
-        part = vocab.where(F.pmod("term", F.lit(blocks)) == b)
-        words = [r["word"] for r in part.select("word").toLocalIterator()]
+        words = [r["word"] for r in vocab.where(F.pmod("term", F.lit(blocks)) == b).select("word").toLocalIterator()]
         if words or counted is None:
             c = cut(term_counts(docs if words else docs.limit(0), words, text_col))
             counted = c if counted is None else counted.unionByName(c)
@@ -185,13 +186,21 @@ def _marked(text: str, terms: list[dict] | None) -> tuple[list[tuple[int, int, s
     return spans, found
 
 
-def _with_terms(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with column `_terms`: the disclosures that concern each row's text."""
-    found = cut(found)
+def _terms_name(docs: DataFrame) -> str:
+    """A column name that docs doesn't have."""
+    name = "_terms"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def _with_terms(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """docs with a further, last column: the disclosures that concern each row's text, null where there are none."""
+    found, name = cut(found), _terms_name(docs)
     if not found.limit(1).count():
-        return docs.withColumn("_terms", F.lit(None).cast("array<struct<entity:long,term:long,risk:double>>"))
+        return docs.withColumn(name, F.lit(None).cast("array<struct<entity:long,term:long,risk:double>>"))
     hits = pairs(docs, text_col).where("word = ''").select("text_key", "entity").distinct()
-    by = hits.join(found, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "term", "risk")).alias("_terms"))
+    by = hits.join(found, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "term", "risk")).alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,8 +208,8 @@ def _with_terms(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key64(t) if t and base_spans(t) else None for t in texts], pa.int64())], ["text", "text_key"])
 
     keyed = docs.select(F.col(text_col)).mapInArrow(run, "text string, text_key long").where("text_key IS NOT NULL").distinct()
-    small = keyed.join(by, "text_key").select(F.col("text").alias(text_col), "_terms")
-    return docs.join(broadcast_if_small(cut(small)), text_col, "left")
+    small = keyed.join(by, "text_key").select(F.col("text").alias(text_col), name)
+    return docs.join(broadcast_if_small(cut(small), TERM_ROWS), text_col, "left").select(*docs.columns, name)
 
 
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,13 +217,13 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col:
 
     base_sha256 digests the base spans, spans lists these and the method's
     (kinds term and gone), as kind:start:end by start. Null text is
-    empty: no spans. Repeated rows each come back and count as one text. An empty table
+    empty: no spans. Repeated rows each come back. An empty table
     gives no rows. Other columns play no part, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col), F.col(text_col))
-    joined = _with_terms(docs, disclosures(docs, text_col, alpha, support), id_col, text_col).select(id_col, text_col, "_terms")
+    joined = _with_terms(docs, disclosures(docs, text_col, alpha, support), text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +255,7 @@ def clean(text: str, base: list[tuple[int, int, str]], extra: list[tuple[int, in
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with personal data replaced in their texts; texts without any, and null, stay as they are. Columns and rows stay too."""
     tune(docs.sparkSession)
-    joined = _with_terms(docs, disclosures(docs, text_col, alpha, support), id_col, text_col).select(*docs.columns, "_terms")
+    joined = _with_terms(docs, disclosures(docs, text_col, alpha, support), text_col)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
