@@ -14,7 +14,7 @@ FACTORS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
 #: A random word for each byte value, so that the hash isn't linear in the bytes.
 BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 #: Text bytes handled at once by the array code.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -24,8 +24,8 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def tune(spark) -> None:
-    """Small Arrow batches, as some texts are very long: at most 64 MB or 2000 rows go to Python at once."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))):
+    """Small Arrow batches, as some texts are very long: at most 16 MB or 1000 rows go to Python at once."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
         try:
             spark.conf.set(key, value)
         except Exception as e:  # an older Spark doesn't know the second setting

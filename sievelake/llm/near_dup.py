@@ -3,7 +3,8 @@
 Texts with the same shingle set form a class; only its document of the smallest
 id goes on. One pass hashes every shingle once: the top bits choose one of
 BINS bins, the rest compete for the bin's minimum, and an empty bin borrows
-from a bin that its own probe sequence hits first (optimal densification).
+from a bin that its own probe sequence hits first (optimal densification),
+or after PROBES misses from the full bin of the least hash.
 BANDS bands of ROWS bins give bucket keys. A bucket's centre is its smallest id
 and every document is paired with the smallest of its buckets' centres only, so
 there is a candidate edge for each document at most. Edges are confirmed on the
@@ -59,13 +60,19 @@ def signatures(h: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
     full = sig != _EMPTY
     r, b = np.nonzero(~full & has[:, None])
     out = sig.copy()
-    for t in range(PROBES * 64):
+    for t in range(PROBES):
         if not len(r):
             break
         to = (A.mix(b.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(t)) >> np.uint64(55)).astype(np.int64)
         hit = full[r, to]
         out[r[hit], b[hit]] = sig[r[hit], to[hit]]
         r, b = r[~hit], b[~hit]
+    # Rows with few full bins: the full bin of the least hash with the empty one, which is as fair a choice.
+    edge = np.append(np.flatnonzero(np.diff(r, prepend=-1)), len(r))
+    for s, e in zip(edge[:-1], edge[1:], strict=True):
+        at = np.flatnonzero(full[r[s]])
+        order = A.mix(b[s:e, None].astype(np.uint64) * np.uint64(1_000_003) + (at + (1 << 20)).astype(np.uint64))
+        out[r[s], b[s:e]] = sig[r[s], at[order.argmin(axis=1)]]
     return out
 
 
