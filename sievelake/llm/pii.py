@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,8 @@ REACH, ALPHA, SUPPORT = 8, 1.25, 4
 BLOCK = 500_000
 #: Texts with such terms up to which they are broadcast; more are joined by shuffle.
 TERM_ROWS = 20_000
+#: Texts with copies up to which their hashes are broadcast; more are joined by shuffle.
+COPIED = 1_000_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+\Z")
@@ -132,28 +134,38 @@ def pairs(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "text_key long, entity long, term long, word string")
 
 
-def term_counts(docs: DataFrame, words: list[str], text_col: str) -> DataFrame:
-    """(term, n_t): in how many rows each of the words stands. A batch of rows gives each word it has once, with a count."""
+def copies(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, copies): the hash of each distinct text that isn't empty, and how many rows hold it."""
+    return docs.where(F.length(text_col) > 0).groupBy(F.xxhash64(text_col).alias("key")).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def term_counts(docs: DataFrame, words: list[str], text_col: str, copied: DataFrame) -> DataFrame:
+    """(term, n_t): in how many distinct texts each of the words stands. A task gives each word it has seen once for each number of copies, with a count of rows."""
     look = {w: key64(w) for w in words}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
+        total: dict[int, Counter[str]] = defaultdict(Counter)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    total.update(look.keys() & set(_TERM.findall(text.lower())))
-        yield pa.RecordBatch.from_arrays([pa.array([look[w] for w in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+                    total[c].update(look.keys() & set(_TERM.findall(text.lower())))
+        rows = [(look[w], c, n) for c, seen in total.items() for w, n in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[], [], []])], ["term", "copies", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    many = broadcast_if_small(copied.where("copies > 1").select("key", F.col("copies").alias("c")), COPIED)
+    rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).join(many, "key", "left").select("text", F.coalesce("c", F.lit(1)).alias("c"))
+    # The rows of one text give c times 1 / c; the sum over all is a whole number but for rounding.
+    return rows.mapInArrow(run, "term long, copies long, n long").groupBy("term").agg(F.round(F.sum(F.col("n") / F.col("copies"))).cast("long").alias("n_t"))
 
 
 def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, risk): terms that disclose an entity, with PMI / IC. All counts are over the whole table."""
+    """(entity, term, risk): terms that disclose an entity, with PMI / IC. All counts are of distinct texts of the whole table."""
     seen = cut(pairs(docs, text_col))
-    n = docs.where(F.length(text_col) > 0).count()
-    texts = F.countDistinct("text_key").alias("texts")
-    n_e = seen.where("word = ''").groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), texts).where(F.col("texts") >= support).drop("texts")
-    n_et = seen.where("word <> ''").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("word").alias("word"), texts).where(F.col("texts") >= support).drop("texts")
+    copied = cut(copies(docs, text_col))
+    n = copied.count()
+    texts = F.countDistinct("text_key")
+    n_e = seen.where("word = ''").groupBy("entity").agg(texts.alias("n_e")).where(F.col("n_e") >= support)
+    n_et = seen.where("word <> ''").groupBy("entity", "term").agg(texts.alias("n_et"), F.first("word").alias("word")).where(F.col("n_et") >= support)
     both = cut(n_et.join(n_e, "entity"))
     vocab = cut(both.select("term", "word").distinct())
     blocks = max(1, -(-vocab.count() // BLOCK))
@@ -161,7 +173,7 @@ def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, s
     for b in range(blocks):
         words = [r["word"] for r in vocab.where(F.pmod("term", F.lit(blocks)) == b).select("word").toLocalIterator()]
         if words or counted is None:
-            c = cut(term_counts(docs if words else docs.limit(0), words, text_col))
+            c = cut(term_counts(docs if words else docs.limit(0), words, text_col, copied))
             counted = c if counted is None else counted.unionByName(c)
     pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))

@@ -156,6 +156,17 @@ def test_pii_terms_and_rows(spark):
     assert pii.find(frame(spark, [])).count() == 0
 
 
+def test_pii_counts_distinct_texts(spark):
+    """Copies of a text with the term, or with the entity, don't change what is found."""
+    rows = [(i, f"filler{chr(97 + i % 26) * 3} text number {i}") for i in range(300)]
+    rows += [(1000 + i, f"Zebulon wrote from zeb@corp.example.com as number {i}") for i in range(5)] + [(1100, "Zebulon stands alone as number")]
+    want = pii.find(frame(spark, rows)).where("doc_id = 1000").first()
+    assert want.n_term >= 1 and "term:0:7" in want.spans
+    for copied in (rows[-1][1], rows[-2][1]):
+        got = pii.find(frame(spark, rows + [(2000 + i, copied) for i in range(400)])).where("doc_id = 1000").first()
+        assert got.spans == want.spans
+
+
 def test_bpe_equals_the_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = bpe.default_vocabulary()
