@@ -2,15 +2,19 @@
 
 Patterns find the protected entities: e-mail addresses, IP addresses, card and
 telephone numbers. Corpus co-occurrence then estimates what other terms reveal:
-for an entity e and a term t that stands within REACH words of it, with
-document frequencies over distinct texts,
+for an entity e and a term t that stands anywhere in a text with it, with
+document frequencies over N distinct texts,
 
-    PMI(e; t) = log2(N n(e,t) / (n(e) n(t))),    IC(e) = -log2(n(e) / N),
+    PMI(e; t) = log2(N n(e,t) / (n(e) n(t))),    IC(e) = PMI(e; e) = log2(N / n(e)),
+
+both smoothed by SMOOTH texts s in which t stands and e is as frequent as anywhere:
+
+    PMI(e; t) = log2((N n(e,t) / n(e) + s) / (n(t) + s)),    IC(e) = log2((N + s) / (n(e) + s)),
 
 and t discloses e if PMI(e; t) >= IC(e) / ALPHA (of all that e would tell, t
 tells that share). In texts that hold e, such terms are generalised, or removed
-where they tell all of it (PMI >= IC). Pairs seen in fewer than SUPPORT
-distinct texts are chance, or copies, and never count.
+where they tell all of it (PMI >= IC). Entities and terms of any frequency
+count, also those of a single text.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ from sievelake.llm.arrays import tune
 from sievelake.runtime import broadcast_if_small, cut
 
 KINDS = ("email", "ip", "card", "phone")
-REACH, ALPHA, SUPPORT = 8, 1.25, 4
-#: Terms that are counted over the corpus in one pass; more are counted in further passes.
-BLOCK = 500_000
+ALPHA, SMOOTH = 1.25, 1.0
+#: Terms that a task counts before it hands on their counts.
+HELD = 200_000
+#: Rows of term counts, entities or disclosures up to which they are broadcast; more are joined by shuffle.
+COUNT_ROWS = 200_000
 #: Texts with such terms up to which they are broadcast; more are joined by shuffle.
 TERM_ROWS = 20_000
-#: Texts with copies up to which their hashes are broadcast; more are joined by shuffle.
+#: Texts with copies, or with such terms, up to which their hashes are broadcast; more are joined by shuffle.
 COPIED = 1_000_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -101,37 +107,36 @@ def entity(text: str, span: tuple[int, int, str]) -> str:
     return kind + ":" + (value if kind in ("email", "ip") else re.sub("[^0-9]", "", value))
 
 
-def near_terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, set[str]]]:
-    """For each span its entity and the lower-case terms within REACH words, other spans left out."""
-    out = []
-    for span in spans:
-        s, e, _ = span
-        left = [m for m in _TERM.finditer(text, max(0, s - 40 * REACH), s)][-REACH:]
-        right = []
-        for m in _TERM.finditer(text, e, min(len(text), e + 40 * REACH)):
-            right.append(m)
-            if len(right) == REACH:
-                break
-        terms = {m.group().lower() for m in left + right if not any(a < m.end() and m.start() < b for a, b, _ in spans)}
-        out.append((entity(text, span), terms))
-    return out
+def outside(text: str, spans: list[tuple[int, int, str]]) -> Iterator[re.Match]:
+    """The terms of the whole text that touch none of the spans, which are sorted by start."""
+    ends: list[tuple[int, int]] = []
+    for a, b, _ in spans:
+        if ends and a < ends[-1][1]:
+            ends[-1] = ends[-1][0], max(b, ends[-1][1])
+        else:
+            ends.append((a, b))
+    j = 0
+    for m in _TERM.finditer(text):
+        while j < len(ends) and ends[j][1] <= m.start():
+            j += 1
+        if j == len(ends) or m.end() <= ends[j][0]:
+            yield m
 
 
-def pairs(docs: DataFrame, text_col: str) -> DataFrame:
-    """(text_key, entity, term, word) of the entities in each text and the terms beside them."""
+def said(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, entities, terms) of each distinct text with entities: its hash, the entities and all terms beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, int, str]] = []
-            for text in batch.column(0).to_pylist():
+            rows: list[tuple[int, list[int], list[int]]] = []
+            for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and (spans := base_spans(text)):
-                    key = key64(text)
-                    said = {(key64(name), t) for name, terms in near_terms(text, spans) for t in (*terms, "")}
-                    rows += [(key, e, key64(t) if t else 0, t) for e, t in said]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["text_key", "entity", "term", "word"])
+                    rows.append((key, [key64(e) for e in {entity(text, x) for x in spans}], [key64(t) for t in {m.group().lower() for m in outside(text, spans)}]))
+            cols = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64()))], ["key", "entities", "terms"])
 
-    return docs.select(text_col).mapInArrow(run, "text_key long, entity long, term long, word string")
+    found = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).mapInArrow(run, "key long, entities array<long>, terms array<long>")
+    return found.groupBy("key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
 
 
 def copies(docs: DataFrame, text_col: str) -> DataFrame:
@@ -139,18 +144,24 @@ def copies(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.where(F.length(text_col) > 0).groupBy(F.xxhash64(text_col).alias("key")).agg(F.count(F.lit(1)).alias("copies"))
 
 
-def term_counts(docs: DataFrame, words: list[str], text_col: str, copied: DataFrame) -> DataFrame:
-    """(term, n_t): in how many distinct texts each of the words stands. A task gives each word it has seen once for each number of copies, with a count of rows."""
-    look = {w: key64(w) for w in words}
+def term_counts(docs: DataFrame, text_col: str, copied: DataFrame) -> DataFrame:
+    """(term, n_t): in how many distinct texts each term stands. A task adds up what it has seen of each term, by the number of copies of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, Counter[str]] = defaultdict(Counter)
+
+        def counted() -> pa.RecordBatch:
+            rows = [(key64(w), c, n) for c, seen in total.items() for w, n in seen.items()]
+            total.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[], [], []])], ["term", "copies", "n"])
+
         for batch in batches:
             for text, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    total[c].update(look.keys() & set(_TERM.findall(text.lower())))
-        rows = [(look[w], c, n) for c, seen in total.items() for w, n in seen.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[], [], []])], ["term", "copies", "n"])
+                    total[c].update(set(map(str.lower, set(_TERM.findall(text)))))
+            if sum(map(len, total.values())) >= HELD:
+                yield counted()
+        yield counted()
 
     many = broadcast_if_small(copied.where("copies > 1").select("key", F.col("copies").alias("c")), COPIED)
     rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).join(many, "key", "left").select("text", F.coalesce("c", F.lit(1)).alias("c"))
@@ -158,26 +169,27 @@ def term_counts(docs: DataFrame, words: list[str], text_col: str, copied: DataFr
     return rows.mapInArrow(run, "term long, copies long, n long").groupBy("term").agg(F.round(F.sum(F.col("n") / F.col("copies"))).cast("long").alias("n_t"))
 
 
-def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, risk): terms that disclose an entity, with PMI / IC. All counts are of distinct texts of the whole table."""
-    seen = cut(pairs(docs, text_col))
+def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, smooth: float = SMOOTH) -> DataFrame:
+    """(key, term, risk): for the hash of each distinct text the terms in it that disclose an entity in it, with the largest PMI / IC. All counts are of distinct texts of the whole table."""
+    texts = cut(said(docs, text_col))
     copied = cut(copies(docs, text_col))
-    n = copied.count()
-    texts = F.countDistinct("text_key")
-    n_e = seen.where("word = ''").groupBy("entity").agg(texts.alias("n_e")).where(F.col("n_e") >= support)
-    n_et = seen.where("word <> ''").groupBy("entity", "term").agg(texts.alias("n_et"), F.first("word").alias("word")).where(F.col("n_et") >= support)
-    both = cut(n_et.join(n_e, "entity"))
-    vocab = cut(both.select("term", "word").distinct())
-    blocks = max(1, -(-vocab.count() // BLOCK))
-    counted = None
-    for b in range(blocks):
-        words = [r["word"] for r in vocab.where(F.pmod("term", F.lit(blocks)) == b).select("word").toLocalIterator()]
-        if words or counted is None:
-            c = cut(term_counts(docs if words else docs.limit(0), words, text_col, copied))
-            counted = c if counted is None else counted.unionByName(c)
-    pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-    return both.join(counted, "term").withColumn("risk", F.when(ic > 0, pmi / ic)).where(F.col("risk") >= 1.0 / alpha).select("entity", "term", "risk")
+    n = float(copied.count())
+    holds = texts.select("key", F.explode("entities").alias("entity"))
+    n_e = cut(holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
+    holds = cut(holds.join(broadcast_if_small(n_e, COUNT_ROWS), "entity"))
+    most = F.col("most").cast("double")
+    # A term of more texts than this can't disclose an entity of `most` texts, even if all of these hold it.
+    bound = (n + smooth) / F.pow((n + smooth) / (most + smooth), F.lit(1.0 / alpha)) - smooth + 1e-6
+    widest = holds.groupBy("key").agg(F.max("n_e").alias("most")).withColumn("bound", bound).drop("most")
+    largest = widest.agg(F.max("bound")).first()[0] or 0.0
+    rare = cut(term_counts(docs, text_col, copied).where(F.col("n_t") <= largest))
+    terms = texts.select("key", F.explode("terms").alias("term")).join(broadcast_if_small(rare, COUNT_ROWS), "term").join(broadcast_if_small(widest, COUNT_ROWS), "key").where("n_t <= bound").drop("bound")
+    both = cut(terms.join(broadcast_if_small(holds, COUNT_ROWS), "key"))
+    ic = F.log2((n + smooth) / (F.col("n_e") + smooth))
+    pmi = F.log2((n * F.col("n_et") / F.col("n_e") + smooth) / (F.col("n_t") + smooth))
+    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    risky = pairs.withColumn("risk", F.when(ic > 0, pmi / ic)).where(F.col("risk") >= 1.0 / alpha).select("entity", "term", "risk")
+    return both.select("key", "entity", "term").join(broadcast_if_small(cut(risky), COUNT_ROWS), ["entity", "term"]).groupBy("key", "term").agg(F.max("risk").alias("risk"))
 
 
 def _marked(text: str, terms: list[dict] | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -185,46 +197,39 @@ def _marked(text: str, terms: list[dict] | None) -> tuple[list[tuple[int, int, s
     spans = base_spans(text)
     if not terms or not spans:
         return spans, []
-    here = {key64(entity(text, s)) for s in spans}
-    risk: dict[int, float] = {}
-    for t in terms:
-        if t["entity"] in here:
-            risk[t["term"]] = max(risk.get(t["term"], 0.0), t["risk"])
+    risk = {t["term"]: t["risk"] for t in terms}
+    keys: dict[str, int] = {}
     found = []
-    for m in _TERM.finditer(text):
-        r = risk.get(key64(m.group().lower()))
-        if r is not None and not any(a < m.end() and m.start() < b for a, b, _ in spans):
+    for m in outside(text, spans):
+        w = m.group().lower()
+        if w not in keys:
+            keys[w] = key64(w)
+        if (r := risk.get(keys[w])) is not None:
             found.append((*m.span(), "gone" if r >= 1.0 - 1e-9 else "term"))
     return spans, found
 
 
-def _terms_name(docs: DataFrame) -> str:
+def _terms_name(docs: DataFrame, name: str = "_terms") -> str:
     """A column name that docs doesn't have."""
-    name = "_terms"
     while name.lower() in map(str.lower, docs.columns):
         name += "_"
     return name
 
 
 def _with_terms(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
-    """docs with a further, last column: the disclosures that concern each row's text, null where there are none."""
-    found, name = cut(found), _terms_name(docs)
-    if not found.limit(1).count():
-        return docs.withColumn(name, F.lit(None).cast("array<struct<entity:long,term:long,risk:double>>"))
-    hits = pairs(docs, text_col).where("word = ''").select("text_key", "entity").distinct()
-    by = hits.join(found, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "term", "risk")).alias(name))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key64(t) if t and base_spans(t) else None for t in texts], pa.int64())], ["text", "text_key"])
-
-    keyed = docs.select(F.col(text_col)).mapInArrow(run, "text string, text_key long").where("text_key IS NOT NULL").distinct()
-    small = keyed.join(by, "text_key").select(F.col("text").alias(text_col), name)
-    return docs.join(broadcast_if_small(cut(small), TERM_ROWS), text_col, "left").select(*docs.columns, name)
-
-
-def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with a further, last column: the disclosures in each row's text, null where there are none."""
+    name, key = _terms_name(docs), _terms_name(docs, "_key")
+    by = cut(found.groupBy("key").agg(F.collect_list(F.struct("term", "risk")).alias(name)).withColumnRenamed("key", key))
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    if by.limit(TERM_ROWS + 1).count() <= TERM_ROWS:
+        return keyed.join(F.broadcast(by), key, "left").select(*docs.columns, name)
+    # Only rows with disclosures are shuffled to them.
+    keys = broadcast_if_small(by.select(key), COPIED)
+    told = keyed.join(keys, key, "left_semi").join(by, key).select(*docs.columns, name)
+    return told.unionByName(keyed.join(keys, key, "left_anti").withColumn(name, F.lit(None).cast(by.schema[name].dataType)).select(*docs.columns, name))
+
+
+def find(docs: DataFrame, alpha: float = ALPHA, smooth: float = SMOOTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of every row of docs.
 
     base_sha256 digests the base spans, spans lists these and the method's
@@ -235,7 +240,7 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col), F.col(text_col))
-    joined = _with_terms(docs, disclosures(docs, text_col, alpha, support), text_col)
+    joined = _with_terms(docs, disclosures(docs, text_col, alpha, smooth), text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,10 +269,10 @@ def clean(text: str, base: list[tuple[int, int, str]], extra: list[tuple[int, in
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = ALPHA, smooth: float = SMOOTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with personal data replaced in their texts; texts without any, and null, stay as they are. Columns and rows stay too."""
     tune(docs.sparkSession)
-    joined = _with_terms(docs, disclosures(docs, text_col, alpha, support), text_col)
+    joined = _with_terms(docs, disclosures(docs, text_col, alpha, smooth), text_col)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

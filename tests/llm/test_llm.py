@@ -167,6 +167,19 @@ def test_pii_counts_distinct_texts(spark):
         assert got.spans == want.spans
 
 
+def test_pii_terms_of_a_single_text(spark, monkeypatch):
+    """An entity of one text is scored, with terms of the whole text, however far off."""
+    rows = [(i, f"common words stand here {i}") for i in range(300)]
+    rows += [(1000, "Zebulon common " + "words stand here " * 200 + "solo@one.example.org"), (1001, "Quentin common words stand here")]
+    got = {r.doc_id: r for r in pii.find(frame(spark, rows)).where("doc_id >= 1000").collect()}
+    assert got[1000].spans.split(",")[0] == "gone:0:7" and got[1000].n_term == 1
+    assert got[1001].spans == ""
+    monkeypatch.setattr(pii, "TERM_ROWS", 0)
+    assert {r.doc_id: r for r in pii.find(frame(spark, rows)).where("doc_id >= 1000").collect()} == got
+    spans = pii.base_spans("écorp@x.com abc 1.2.3.4 def")
+    assert [m.group() for m in pii.outside("écorp@x.com abc 1.2.3.4 def", spans)] == ["abc", "def"]
+
+
 def test_bpe_equals_the_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = bpe.default_vocabulary()
