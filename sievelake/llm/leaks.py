@@ -1,7 +1,7 @@
 """Benchmark decontamination in DataFrame operations only: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
-A window of an item's size can only be similar to it if they share a shingle,
-so windows are laid where a shared shingle aligns text and item. Each window's
+Windows of an item's size are laid at every start where the shingles they share
+with it, wherever these stand, could make them similar enough. Each window's
 SimHash (64 bits, shingles weighted by their rarity among the items) is cut
 into RADIUS + 1 blocks; two fingerprints within RADIUS bits agree in one block at
 least, so joining on (size, block, value) finds them all. What lies within the
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.runtime import broadcast_if_small, cut
@@ -48,6 +48,28 @@ def _blocks(fp: str) -> str:
     return f"array({parts})"
 
 
+def _starts(hits: DataFrame, similarity: float, least: float) -> DataFrame:
+    """doc_id, t, k, len, size, start: windows that may be similar enough, from the text positions p whose shingle an item has.
+
+    A shingle at p is in the windows that start from p - size + k to p, so what a window shares with the item changes
+    only there, and is summed up along the text. Its other shingles weigh `least` each, or more.
+    """
+    item = ["doc_id", "t", "item_id", "k", "size"]
+    enough = F.col("all") >= F.lit(similarity) * F.col("theirs") - 1e-6
+    hits = hits.withColumn("all", F.sum("weight").over(Window.partitionBy(*item))).where(enough)
+    last = F.greatest(F.lit(0), F.col("n") - F.col("size"))
+    first, after = F.greatest(F.lit(0), F.col("p") - F.col("size") + F.col("k")), F.least(F.col("p"), last) + 1
+    ends = F.explode(F.array(F.struct(first.alias("at"), F.col("weight").alias("dw"), F.lit(1).alias("dc")), F.struct(after.alias("at"), (-F.col("weight")).alias("dw"), F.lit(-1).alias("dc"))))
+    along = Window.partitionBy(*item).orderBy("at")
+    steps = hits.select(*item, "n", "theirs", ends.alias("x")).select(*item, "n", "theirs", "x.*")
+    steps = steps.select(*item, "n", "theirs", "at", F.sum("dw").over(along).alias("shared"), F.sum("dc").over(along).alias("c"), F.lead("at").over(along).alias("to"))
+    size = F.least("n", "size")
+    others = (size - F.col("k") + 1 - F.col("c")) * F.lit(least)
+    bound = F.least("shared", "theirs") / (F.greatest("shared", "theirs") + others)
+    steps = steps.where((F.col("to") > F.col("at")) & (F.col("c") > 0)).where(bound >= similarity - 1e-6)
+    return steps.select("doc_id", "t", "k", size.alias("len"), "size", F.explode(F.sequence(F.col("at"), F.col("to") - 1)).alias("start"))
+
+
 def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words, distance): each leak of an item into a row of docs, at its best window.
 
@@ -71,16 +93,20 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_c
     n_items = shingles.select("item_id").distinct().count()
     weights = shingles.groupBy("k", "h").agg((F.log(F.lit(n_items + 1.0) / (F.countDistinct("item_id") + 1.0)) + 1.0).alias("weight"))
     unseen = math.log((n_items + 1.0) / 2.0) + 1.0  # as if one item had it
-    lay = broadcast_if_small(shingles.select("k", "h", "j", "size").distinct(), SMALL)
+    least = min(weights.agg(F.min("weight")).first()[0], unseen)
+    heavy = broadcast_if_small(weights, SMALL)
+    theirs = cut(shingles.groupBy("item_id", "k", "size", "h").agg(F.count(F.lit(1)).alias("c")).join(heavy, ["k", "h"]))
+    whole = theirs.groupBy("item_id", "k", "size").agg(F.sum(F.col("c") * F.col("weight")).alias("theirs"))
+    lay = broadcast_if_small(theirs.join(whole, ["item_id", "k", "size"]).select("item_id", "k", "size", "h", "weight", "theirs"), SMALL)
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("length(text) > 0")
     w = d.select("doc_id", F.xxhash64("text").alias("t"), words(F.col("text")).alias("w"))
-    laid = None
+    hits = None
     for k in ks:
         at = w.where(F.size("w") >= k).select("doc_id", "t", F.size("w").alias("n"), F.posexplode(F.expr(_hashes("w", k))).alias("p", "h")).withColumn("k", F.lit(k))
-        hit = at.join(lay, ["k", "h"]).select("doc_id", "t", "k", F.least("n", "size").alias("len"), "size", F.greatest(F.lit(0), F.least(F.col("p") - F.col("j"), F.col("n") - F.col("size"))).alias("start"))
-        laid = hit if laid is None else laid.unionByName(hit)
-    laid = cut(laid.distinct())
+        hit = at.join(lay, ["k", "h"]).drop("h")
+        hits = hit if hits is None else hits.unionByName(hit)
+    laid = cut(_starts(hits.distinct(), similarity, least).distinct())
     # The windows' own shingles, from the texts that have any.
     by = laid.groupBy("doc_id", "t").agg(F.collect_list(F.struct("k", "len", "size", "start")).alias("x"))
     full = w.join(broadcast_if_small(by, SMALL // 10), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "w", F.explode("x").alias("x"))
@@ -90,9 +116,7 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_c
     for k in ks:
         part = piece.where(F.col("k") == k).select(*keys, F.explode(F.expr(_hashes("v", k))).alias("h"))
         inside = part if inside is None else inside.unionByName(part)
-    heavy = broadcast_if_small(weights, SMALL)
     counts = cut(inside.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("c")).join(heavy, ["k", "h"], "left").withColumn("weight", F.coalesce("weight", F.lit(unseen))))
-    theirs = cut(shingles.groupBy("item_id", "k", "size", "h").agg(F.count(F.lit(1)).alias("c")).join(heavy, ["k", "h"]))
 
     def prints(rows: DataFrame, keys: list[str]) -> DataFrame:
         return _simhash(rows.withColumn("weight", F.col("c") * F.col("weight")), keys)
@@ -103,7 +127,6 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_c
     near = near.where(F.col("distance") <= RADIUS).select(*keys, "item_id", "distance").distinct()
 
     total = counts.groupBy(*keys).agg(F.sum(F.col("c") * F.col("weight")).alias("mine"))
-    whole = theirs.groupBy("item_id", "k", "size").agg(F.sum(F.col("c") * F.col("weight")).alias("theirs"))
     both = near.join(counts.withColumnRenamed("c", "cm"), keys).join(broadcast_if_small(theirs.select("item_id", "k", "size", "h", F.col("c").alias("ct")), SMALL), ["item_id", "k", "size", "h"])
     common = both.groupBy(*keys, "item_id", "distance").agg(F.sum(F.least("cm", "ct") * F.col("weight")).alias("common"))
     sim = common.join(total, keys).join(broadcast_if_small(whole, SMALL), ["item_id", "k", "size"]).withColumn("similarity", F.round(F.col("common") / (F.col("mine") + F.col("theirs") - F.col("common")), 6))

@@ -257,6 +257,32 @@ def test_leaks(spark):
     assert leaks.find(frame(spark, []), items).count() == 0 and leaks.find(frame(spark, rows), items.limit(0)).count() == 0
 
 
+def test_leaks_out_of_order(spark):
+    """Passages with moved or swapped sentences, against every window of the text."""
+    rng = random.Random(4)
+    item = {i: [f"w{i}x{j}" for j in range(60)] for i in range(6)}
+    item[6] = ["so", "it", "goes"] * 20
+    rows = []
+    for i, w in item.items():
+        for j, x in enumerate((w[10:] + w[:10], w[50:] + w[:50], w[30:] + w[:30], w[20:40] + w[:20] + w[40:], w[10:] + ["odd"] * 40 + w[:10], w[10:] + w[:10] + w)):
+            rows.append((100 * i + j, " ".join([f"f{rng.randrange(10**6)}" for _ in range(rng.randrange(70))] + x + [f"f{rng.randrange(10**6)}" for _ in range(rng.randrange(70))])))
+
+    def shingles(w):
+        return Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+
+    want = {}
+    for d, t in rows:
+        x = t.split()
+        for i, w in item.items():
+            best = max(sum((shingles(v) & shingles(w)).values()) / sum((shingles(v) | shingles(w)).values()) for v in (x[s : s + len(w)] for s in range(max(1, len(x) - len(w) + 1))))
+            if best >= 0.8:
+                want[d, i] = best
+    assert {(100 * i, i) for i in range(6)} <= set(want)
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks.find(frame(spark, rows), spark.createDataFrame([(i, " ".join(w)) for i, w in item.items()], "item_id long, text string")).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[x] - want[x]) < 1e-5 for x in want if x[1] < 6)
+
+
 def test_pages(spark):
     page = '<html><body><header>Site</header><div class="cookie-notice">Accept</div><div id="main" class="content-12"><h1>T &eacute;</h1><p>One  <b>tw</b>o<p>Three<ul><li>four</ul></div><div class="comments"><p>Nice</p></div><form><p>Name</p></form><aside>s</aside></body></html>'
     rows = [(1, "http://a.example/1", page), (2, "http://a.example/2", page.replace("-12", "-77")), (3, None, None), (4, "http://b.example/", ""), (5, "http://b.example/x", "<p>un<b>closed &lt; text"), (5, "http://b.example/x", "<p>un<b>closed &lt; text")]
