@@ -5,11 +5,12 @@ one by one; at each word the automaton's length is the longest suffix that
 occurs in some template (the matching statistics). Matches of MIN words at
 least that can't be made longer are chained, template by template, in the order
 of both text and template with gaps of at most GAP words; a chain that covers
-COVER of its template's words is a licence span.
+COVER of its template's words is a licence span. Of chains that overlap the best is taken.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -128,30 +129,56 @@ class Scanner:
         self.phrases = [(word_hashes(p), label) for p, label in phrases]
 
     def spans(self, ids, offset: int) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end word, share of the template covered) of the best chain of each template in one stretch of words."""
+        """(label, first word, end word, share of the template covered) of the chains of each template in one stretch of words that cover COVER of it and don't overlap."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for end, n, s in self.auto.matches(ids, MIN):
             for t, e in self.auto.ends[s]:
                 by.setdefault(t, []).append((end, e + 1, n))
         out = []
         for t, found in by.items():
-            found.sort()
-            chains: list[tuple[int, int, int, int]] = []  # start, end, template end, words covered
-            for end, e, n in found:
-                best = (end - n, end, e, n)
-                for c in reversed(chains):
-                    if end - n - c[1] > GAP:
-                        if end - n - c[1] > GAP + max(self.sizes):
-                            break
-                        continue
-                    new = min(n, end - c[1], e - c[2])
-                    if c[1] < end and c[2] < e and new > 0 and e - n - c[2] <= GAP and c[3] + new > best[3]:
-                        best = (c[0], end, e, c[3] + new)
-                chains.append(best)
-            top = max(chains, key=lambda c: (c[3], -c[0]))
-            out.append((self.labels[t], top[0] + offset, top[1] + offset, min(1.0, top[3] / self.sizes[t])))
+            out += [(self.labels[t], c[0] + offset, c[1] + offset, min(1.0, c[3] / self.sizes[t])) for c in self._apart(sorted(found), self.sizes[t])]
         return out
 
+    def _apart(self, found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int, int]]:
+        """Chains that cover COVER of a template of that size and don't overlap, best first; what is left between them is chained again."""
+        out, todo = [], [found]
+        while todo:
+            part = todo.pop()
+            taken: list[tuple[int, int]] = []
+            for c in sorted(self._chains(part), key=lambda c: (-c[3], c[0])):
+                if c[3] / size < COVER:
+                    break
+                i = bisect.bisect_left(taken, c[:2])
+                if (i == 0 or taken[i - 1][1] <= c[0]) and (i == len(taken) or c[1] <= taken[i][0]):
+                    taken.insert(i, c[:2])
+                    out.append(c)
+            if not taken:
+                continue
+            for lo, hi in zip([-1, *(b for _, b in taken)], [*(a for a, _ in taken), part[-1][0]], strict=True):
+                if (hi - lo) / size >= COVER:
+                    near = part[bisect.bisect_right(part, lo, key=lambda x: x[0]) : bisect.bisect_right(part, hi + size, key=lambda x: x[0])]
+                    # Matches that reach beyond the gap are cut to it.
+                    fit = [(min(end, hi), e - max(0, end - hi), min(end, hi) - max(end - n, lo)) for end, e, n in near]
+                    if fit := sorted(x for x in fit if x[2] >= MIN):
+                        todo.append(fit)
+        return out
+
+    def _chains(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """The best chain that ends with each match: start, end, template end, words covered."""
+        chains: list[tuple[int, int, int, int]] = []
+        for end, e, n in found:
+            best = (end - n, end, e, n)
+            for c in reversed(chains):
+                if end - n - c[1] > GAP:
+                    if end - n - c[1] > GAP + max(self.sizes):
+                        break
+                    continue
+                new = min(n, end - c[1], e - c[2])
+                if c[1] < end and c[2] < e and new > 0 and e - n - c[2] <= GAP and c[3] + new > best[3]:
+                    best = (c[0], end, e, c[3] + new)
+            chains.append(best)
+        return chains
+
 
 @lru_cache(4)
 def scanner(templates=TEMPLATES, phrases=PHRASES) -> Scanner:

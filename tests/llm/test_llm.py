@@ -371,6 +371,16 @@ def test_licences(spark):
     assert labels[72] == ("gpl-3", 1.0) and labels[73][0] == "mit" and labels[5] == ("", 0.0)
 
 
+def test_licence_lines_back_to_back(spark):
+    """Each of several repeated licence lines has its own span."""
+    line = "Licensed under CC BY-NC 4.0."
+    rows = [(1, "\n".join([line] * 3)), (2, " ".join([line] * 500)), (3, line)]
+    n = len(re.findall("[a-z0-9]+", line.lower()))
+    got = {r.doc_id: r.spans for r in licences.scan(frame(spark, rows)).collect()}
+    for i, k in ((1, 3), (2, 500), (3, 1)):
+        assert got[i] == ",".join(f"cc-by-nc:{n * j}:{n * j + n}" for j in range(k))
+
+
 def test_automaton_matching_statistics():
     rng = random.Random(6)
     seqs = [[rng.randrange(4) for _ in range(30)] for _ in range(3)]
