@@ -9,21 +9,21 @@ mean log probability, weighted by the windows' lengths.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm import arrays as A
+from sievelake.runtime import broadcast_if_small, cut
 
 #: Bytes of a window, size of a byte's embedding, filter widths and filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 96, 8, (2, 3, 4), 24
-#: Labelled rows that the network is trained on at most, windows drawn from each, passes over them.
-SAMPLE_ROWS, PER_TEXT, EPOCHS, RATE, BATCH = 3000, 3, 4, 0.004, 128
-#: Characters of a labelled row that its training windows are drawn from; and training steps at least, for small samples.
-TRAIN_CHARS, STEPS = 20_000, 400
+#: Rows of each label that the network is trained on at most, windows drawn from each, passes over them; and training steps at least, for small samples.
+SAMPLE_ROWS, PER_TEXT, EPOCHS, RATE, BATCH, STEPS = 1000, 3, 4, 0.004, 128, 400
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -110,22 +110,37 @@ def letters(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
+def drawn(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample_rows: int) -> DataFrame:
+    """(label, windows): PER_TEXT windows, drawn from the whole text by its checksum, of the sample_rows rows of each label with the smallest id hashes."""
+    some = labelled.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0) & F.col(id_col).isNotNull())
+    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    ids = some.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_rows).select("id").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, found = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if letters(text):
+                    b = text.encode()
+                    w = windows(b)
+                    label.append(name)
+                    found.append(w[np.random.default_rng(zlib.crc32(b)).permutation(len(w))[:PER_TEXT]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(found, pa.binary())], ["label", "windows"])
+
+    rows = some.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    return rows.join(broadcast_if_small(cut(ids)), "id", "left_semi").select("label", "text").mapInArrow(run, "label string, windows binary")
+
+
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Network | None:
-    """A network for the labels of at most sample_rows rows, those of the smallest id hash. No labelled text: None."""
-    some = labelled.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
-    rows = some.select(F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, TRAIN_CHARS).alias("t"), F.col(label_col).alias("l")).orderBy(F.xxhash64("i"), "i", "t").limit(sample_rows).toLocalIterator()
-    rng, xs, ys, names = np.random.default_rng(3), [], [], {}
-    for r in rows:
-        if letters(r["t"]):
-            w = windows(r["t"].encode())
-            w = w[rng.permutation(len(w))[:PER_TEXT]]
-            xs.append(w)
-            ys += [names.setdefault(r["l"], len(names))] * len(w)
-    if not xs:
+    """A network for the labels of labelled, from at most sample_rows ids of each (rows that repeat such an id count too). No labelled text with a letter: None."""
+    A.tune(labelled.sparkSession)
+    rows = sorted({(r["label"], bytes(r["windows"])) for r in drawn(labelled, text_col, label_col, id_col, sample_rows).distinct().toLocalIterator()})
+    if not rows:
         return None
-    order = sorted(names)
-    y = np.array([order.index(n) for n in names])[np.array(ys)]
-    return Network(order).fit(np.concatenate(xs), y)
+    order = sorted({name for name, _ in rows})
+    x = [np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for _, w in rows]
+    y = np.repeat([order.index(name) for name, _ in rows], [len(w) for w in x])
+    return Network(order).fit(np.concatenate(x), y)
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,11 +200,15 @@ def _by(owner: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def held_out(id_col: str = "doc_id"):
-    """Every fifth row by checksum of its id: never learned from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Every fifth row by checksum of its id: never learned from. Nor are rows with a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row of docs (doc_id, text, lang), learned from the rows not held out."""
+    """(doc_id, held_out, lang_pred, score) of every row of docs (doc_id, text, lang), learned from the rows not held out.
+
+    Repeated rows each come back, with equal predictions. A null id counts as
+    held out. An empty table gives no rows; without a labelled text all are `und`.
+    """
     net = train(docs.where(~held_out()))
     return predict(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
