@@ -3,8 +3,7 @@
 Texts with the same shingle set form a class; only its document of the smallest
 id goes on. One pass hashes every shingle once: the top bits choose one of
 BINS bins, the rest compete for the bin's minimum, and an empty bin borrows
-from a bin that its own probe sequence hits first (optimal densification),
-or after PROBES misses from the full bin of the least hash.
+from the full bin that its own probe sequence hits first (optimal densification).
 BANDS bands of ROWS bins give bucket keys. A bucket's centre is its smallest id
 and every document is paired with the smallest of its buckets' centres only, so
 there is a candidate edge for each document at most. Edges are confirmed on the
@@ -20,6 +19,7 @@ probability (1 - 0.8**ROWS)**BANDS, under 1e-5.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ BINS, ROWS = 512, 8
 BANDS = BINS // ROWS
 #: Members of a block, rows of a group of blocks, bits of the parity bitmap.
 BLOCK, GROUP_ROWS, BITS = 512, 20_000, 512
+#: Probes made one by one; where all miss, the table of first visits tells the same sequence's first hit.
 PROBES = 64
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -46,6 +47,24 @@ def _sets(col: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield at, to, *A.distinct(h, rows)
 
 
+def _probe(b: np.ndarray, t: int) -> np.ndarray:
+    return (A.mix(b.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(t)) >> np.uint64(55)).astype(np.int64)
+
+
+@lru_cache(1)
+def first_visits() -> np.ndarray:
+    """[b, x]: the probe of bin b's sequence that comes to bin x first."""
+    out = np.full((BINS, BINS), -1, np.int32)
+    every = np.arange(BINS)
+    t = 0
+    while (out < 0).any():
+        to = _probe(every, t)
+        new = out[every, to] < 0
+        out[every[new], to[new]] = t
+        t += 1
+    return out
+
+
 def signatures(h: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
     """BINS minima per row, densified; rows without hashes keep the empty mark."""
     sig = np.full(n_rows * BINS, _EMPTY, np.uint64)
@@ -63,16 +82,14 @@ def signatures(h: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
     for t in range(PROBES):
         if not len(r):
             break
-        to = (A.mix(b.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(t)) >> np.uint64(55)).astype(np.int64)
+        to = _probe(b, t)
         hit = full[r, to]
         out[r[hit], b[hit]] = sig[r[hit], to[hit]]
         r, b = r[~hit], b[~hit]
-    # Rows with few full bins: the full bin of the least hash with the empty one, which is as fair a choice.
     edge = np.append(np.flatnonzero(np.diff(r, prepend=-1)), len(r))
     for s, e in zip(edge[:-1], edge[1:], strict=True):
         at = np.flatnonzero(full[r[s]])
-        order = A.mix(b[s:e, None].astype(np.uint64) * np.uint64(1_000_003) + (at + (1 << 20)).astype(np.uint64))
-        out[r[s], b[s:e]] = sig[r[s], at[order.argmin(axis=1)]]
+        out[r[s], b[s:e]] = sig[r[s], at[first_visits()[b[s:e, None], at].argmin(axis=1)]]
     return out
 
 
@@ -121,13 +138,13 @@ def _bitmaps(h: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs (a, b, na, nb) whose full sets have 100 * intersection >= percent * union."""
+    """(a, b) of the pairs (a, b, na, nb) whose full sets have 100 * intersection >= percent * union. Of rows that share an id, any text will do."""
     near = cut(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(full_sets(texts.join(broadcast_if_small(ids), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]))
+    sets = cut(full_sets(texts.join(broadcast_if_small(ids), "doc_id", "left_semi"), k).distinct())
     left = near.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b").withColumn("i", F.size(F.array_intersect("ha", "hb")).cast("long"))
-    return cut(both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"))
+    return cut(both.where(F.col("i") * 100 >= (F.size("ha") + F.size("hb") - F.col("i")) * percent).select("a", "b").distinct())
 
 
 def _across(live: DataFrame, percent: int) -> DataFrame:
@@ -161,8 +178,9 @@ def _across(live: DataFrame, percent: int) -> DataFrame:
         x, y = np.concatenate(x), np.concatenate(y)
         return pa.table({"a": t["doc_id"].take(pa.array(x)), "b": t["doc_id"].take(pa.array(y)), "na": pa.array(n[x]), "nb": pa.array(n[y])})
 
-    groups = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-live.count() // GROUP_ROWS)))).alias("g")
-    found = out.unionByName(all_).groupBy(groups).applyInArrow(held, f"a {kind}, b {kind}, na long, nb long")
+    laid = cut(out.unionByName(all_))
+    groups = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-laid.count() // GROUP_ROWS)))).alias("g")
+    found = laid.groupBy(groups).applyInArrow(held, f"a {kind}, b {kind}, na long, nb long")
     flip = F.col("a") > F.col("b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
 
@@ -175,7 +193,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     k. Null, empty and blank texts have an empty set and are linked with nothing. Rows
     of equal sets are one class; component_id is the smallest id reachable over
     links with 100 * intersection >= percent * union, kept marks that row. Rows
-    repeated with the same id each come back. Further columns of docs play no
+    repeated with the same id each come back, each judged by its own text, but
+    as ends of links they are one document. Further columns of docs play no
     part, whatever their names. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
