@@ -6,9 +6,10 @@ holds a count, the XOR of its digests and the XOR of their checks. Subtracting
 two sketches leaves the paragraphs that differ; cells of a single one are
 peeled off until none is left. Where peeling fails, larger sketches follow: the
 digests are dealt to groups of about LOAD, each with a sketch of its
-own, larger again on failure, and at last the sets themselves are compared. So
-the differing digests are exact, and the work grows by n**1.5 at most with a
-text's paragraphs.
+own, which doubles on failure until it peels, GROWTHS times at most: the last has
+1536 cells in each table, and a group fails in all with a probability under 1e-15, which
+raises an error. So the differing digests are exact, and the work grows by n**1.5
+at most with a text's paragraphs.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of each of a fingerprint's three tables; digests of a group, cells of its tables and of those of the retries.
-TABLE, LOAD, RETRIES = 16, 24, (12, 24, 48)
+#: Cells of each of a fingerprint's three tables; digests of a group, cells of its first tables, and sketches that are tried.
+TABLE, LOAD, FIRST, GROWTHS = 16, 24, 12, 8
 #: Text bytes of a range of ids.
 RANGE_BYTES = 8 << 20
 _ROUNDS = 12
@@ -28,14 +29,14 @@ def paragraphs(text: str) -> str:
     return f"array_distinct(transform(filter(split({text}, '\\\\n+|(?<=[.!?]) +'), q -> length(trim(q)) > 0), q -> xxhash64(trim(q))))"
 
 
-def _entries(keys: str, sign: int, table: int, seed: int) -> str:
-    at = ", ".join(f"cast(pmod(xxhash64(k, {seed + t}), {table}) + {t * table} as int) AS p{t}" for t in range(3))
+def _entries(keys: str, sign: int, table, seed) -> str:
+    at = ", ".join(f"cast(pmod(xxhash64(k, {seed} + {t}), {table}) + {t} * {table} as int) AS p{t}" for t in range(3))
     return f"transform({keys}, k -> struct({sign} AS s, k AS k, cast(xxhash64(k, -7) & 2147483647 as int) AS h, {at}))"
 
 
-def _cells(entries: str, table: int) -> str:
+def _cells(entries: str, table) -> str:
     one = "transform(sequence({0}, {1}), j -> aggregate(filter({2}, e -> e.p{3} = j), struct(0 AS c, 0L AS k, 0 AS h), (a, e) -> struct(a.c + e.s AS c, a.k ^ e.k AS k, a.h ^ e.h AS h)))"
-    return "concat(" + ", ".join(one.format(t * table, (t + 1) * table - 1, entries, t) for t in range(3)) + ")"
+    return "concat(" + ", ".join(one.format(f"{t} * {table}", f"{t + 1} * {table} - 1", entries, t) for t in range(3)) + ")"
 
 
 def cells(keys: str, table: int = TABLE, seed: int = 0) -> str:
@@ -47,24 +48,21 @@ def subtract(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> struct(x.c - y.c AS c, x.k ^ y.k AS k, x.h ^ y.h AS h))"
 
 
-def peel(diff: str, table: int, seed: int) -> str:
-    """SQL: struct(ok, left, right): the number of digests of either side only, found by peeling the cells diff."""
-    single = f"array_distinct(transform(filter(s.z, x -> abs(x.c) = 1 AND x.h = cast(xxhash64(x.k, -7) & 2147483647 as int)), x -> struct(x.c AS s, x.k AS k, x.h AS h, {', '.join(f'cast(pmod(xxhash64(x.k, {seed + t}), {table}) + {t * table} as int) AS p{t}' for t in range(3))})))"
-    at = f"CASE WHEN j < {table} THEN e.p0 WHEN j < {2 * table} THEN e.p1 ELSE e.p2 END"
+def peel(diff: str, table, seed) -> str:
+    """SQL: struct(ok, left, right): the number of digests of either side only, found by peeling the cells diff. table and seed may be SQL."""
+    single = f"array_distinct(transform(filter(s.z, x -> abs(x.c) = 1 AND x.h = cast(xxhash64(x.k, -7) & 2147483647 as int)), x -> struct(x.c AS s, x.k AS k, x.h AS h, {', '.join(f'cast(pmod(xxhash64(x.k, {seed} + {t}), {table}) + {t} * {table} as int) AS p{t}' for t in range(3))})))"
+    at = f"CASE WHEN j < {table} THEN e.p0 WHEN j < 2 * {table} THEN e.p1 ELSE e.p2 END"
     peeled = f"transform(s.z, (x, j) -> aggregate(filter(p, e -> {at} = j), x, (a, e) -> struct(a.c - e.s AS c, a.k ^ e.k AS k, a.h ^ e.h AS h)))"
     step = f"CASE WHEN s.go THEN transform(array({single}), p -> struct({peeled} AS z, s.l + size(filter(p, e -> e.s = 1)) AS l, s.r + size(filter(p, e -> e.s = -1)) AS r, size(p) > 0 AS go))[0] ELSE s END"
-    return f"aggregate(sequence(1, {_ROUNDS}), struct({diff} AS z, 0 AS l, 0 AS r, true AS go), (s, i) -> {step}, s -> struct(forall(s.z, x -> x.c = 0 AND x.k = 0 AND x.h = 0) AS ok, s.l AS l, s.r AS r))"
+    return f"aggregate(sequence(1, {_ROUNDS}), struct({diff} AS z, 0 AS l, 0 AS r, true AS go), (s, o) -> {step}, s -> struct(forall(s.z, x -> x.c = 0 AND x.k = 0 AND x.h = 0) AS ok, s.l AS l, s.r AS r))"
 
 
 def _group(a: str, b: str) -> str:
     """SQL: struct(l, r) of two small arrays of digests, by ever larger sketches."""
-    out = f"struct(size(array_except({a}, {b})) AS l, size(array_except({b}, {a})) AS r)"
-    for n, table in reversed(list(enumerate(RETRIES))):
-        seed = 10 * (n + 1)
-        both = f"concat({_entries(a, 1, table, seed)}, {_entries(b, -1, table, seed)})"
-        tried = peel(f"transform(array({both}), x -> {_cells('x', table)})[0]", table, seed)
-        out = f"transform(array({tried}), w -> CASE WHEN w.ok THEN struct(w.l AS l, w.r AS r) ELSE {out} END)[0]"
-    return out
+    table, seed = f"shiftleft({FIRST}, i - 1)", "10 * i"
+    both = f"concat({_entries(a, 1, table, seed)}, {_entries(b, -1, table, seed)})"
+    tried = peel(f"transform(array({both}), x -> {_cells('x', table)})[0]", table, seed)
+    return f"aggregate(sequence(1, {GROWTHS}), struct(false AS ok, 0 AS l, 0 AS r), (g, i) -> CASE WHEN g.ok THEN g ELSE {tried} END, g -> CASE WHEN g.ok THEN struct(g.l AS l, g.r AS r) ELSE raise_error('no sketch of these paragraphs could be peeled') END)"
 
 
 def _grouped(a: str, b: str) -> str:
