@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from sievelake.llm.arrays import tune
 from sievelake.runtime import broadcast_if_small, cut
 
-#: Containers of a page that vote, and ranked paths of a host that its pages try.
-VOTES, RANKS = 3, 5
+#: Winning paths of a host, which its pages try in turn; a page that has none of them is read at its own best box.
+RANKS = 5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|title|textarea|select|button|object|video|audio|canvas|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|title|textarea|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    # Of these, one that closes itself or is never closed loses its tag only.
+    r"|<(?P<box>svg|select|button|object|video|audio|canvas|math|noscript|template)\b(?:[^>]*/>|[^>]*>(?:(?!<(?P=box)\b).)*?</(?P=box)\s*>)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -145,14 +147,13 @@ def joined(pieces: list[tuple[str, bool, bool]]) -> str:
 
 
 def votes(page: str) -> list[tuple[str, float]]:
-    """The page's best paths with their shares of its vote."""
+    """The page's paths with their shares of its vote."""
     by: dict[str, float] = {}
     for path, _, _, score in read(page)[1]:
         if score > 0:
             by[path] = by.get(path, 0.0) + score
-    top = sorted(by.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
-    total = sum(s for _, s in top)
-    return [(p, s / total) for p, s in top]
+    total = sum(by.values())
+    return [(p, s / total) for p, s in sorted(by.items())]
 
 
 def text_at(page: str, paths: list[str]) -> str:
