@@ -5,7 +5,9 @@ one by one; at each word the automaton's length is the longest suffix that
 occurs in some template (the matching statistics). Matches of MIN words at
 least that can't be made longer are chained, template by template, in the order
 of both text and template with gaps of at most GAP words; a chain that covers
-COVER of its template's words is a licence span. Of chains that overlap the best is taken.
+COVER of its template's words, or LONG words, is a licence span. Of chains that
+overlap, of one template or of several, the one that covers most words is taken,
+then the one that covers most of its template; those equal in both all count.
 """
 
 from __future__ import annotations
@@ -21,31 +23,69 @@ from pyspark.sql import functions as F
 
 from sievelake.llm import arrays as A
 
-MIN, GAP, COVER = 4, 16, 0.5
+MIN, GAP, COVER, LONG = 4, 16, 0.6, 24
 #: Fixed: phrases whose place alone names a licence.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Fixed: short notices and opening passages of public licences, (label, words).
+_AS_IS = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC_END = """THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+def _gnu(name: str, version: str) -> str:
+    """The notice that programs under a licence of this family carry."""
+    return f"""This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+You should have received a copy of the GNU {name} along with this program. If not, see https://www.gnu.org/licenses/"""
+
+
+#: Fixed: public licences, whole where they are short, else the notice that files carry; and short forms. (label, words)
 TEMPLATES = (
     ("mit", "released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+{_AS_IS} IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("apache-2", "licensed under the Apache License, Version 2.0"),
-    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("apache-2", "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
-    ("cc-by-nc", "licensed under CC BY-NC 4.0"),
-    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("gpl-3", "this work is licensed under the GNU General Public License, version 3"),
-    ("gpl-3", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
+    ("apache-2", """Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("bsd-2", f"{_BSD_2}\n{_BSD_END}"),
+    ("bsd-3", f"{_BSD_2}\n{_BSD_3}\n{_BSD_END}"),
+    ("isc", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_END}"),
+    ("0bsd", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n{_ISC_END}"),
+    ("zlib", """This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("bsl-1", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."""),
+    ("unlicense", f"""This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+{_AS_IS} IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org"""),
+    ("wtfpl", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE. Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("gpl-2", _gnu("General Public License", "2")),
+    ("gpl-3", _gnu("General Public License", "3")),
+    ("lgpl-2", _gnu("Lesser General Public License", "2.1")),
+    ("lgpl-3", _gnu("Lesser General Public License", "3")),
+    ("agpl-3", _gnu("Affero General Public License", "3")),
     ("gpl-2", "this work is licensed under the GNU General Public License, version 2"),
-    ("lgpl-3", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("agpl-3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("gpl-3", "this work is licensed under the GNU General Public License, version 3"),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0"),
+    ("cc-by", "licensed under CC BY 4.0"),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("cc0", "dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication"),
 )
 _GAP = np.zeros(256, bool)
@@ -129,24 +169,35 @@ class Scanner:
         self.phrases = [(word_hashes(p), label) for p, label in phrases]
 
     def spans(self, ids, offset: int) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end word, share of the template covered) of the chains of each template in one stretch of words that cover COVER of it and don't overlap."""
+        """(label, first word, end word, share of the template covered) of the chains in one stretch of words that are licence spans and don't overlap, but for those equally good."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for end, n, s in self.auto.matches(ids, MIN):
             for t, e in self.auto.ends[s]:
                 by.setdefault(t, []).append((end, e + 1, n))
+        found = [(c[3], c[3] / self.sizes[t], c[0], c[1], self.labels[t]) for t, x in by.items() for c in self._apart(sorted(x), self.sizes[t])]
+        taken: list[tuple[int, int, int, float]] = []
         out = []
-        for t, found in by.items():
-            out += [(self.labels[t], c[0] + offset, c[1] + offset, min(1.0, c[3] / self.sizes[t])) for c in self._apart(sorted(found), self.sizes[t])]
+        for n, share, a, b, label in sorted(found, key=lambda c: (-c[0], -c[1], c[2], c[4])):
+            i = bisect.bisect_left(taken, (a, b))
+            free = (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0])
+            if free:
+                taken.insert(i, (a, b, n, share))
+            if free or i < len(taken) and taken[i] == (a, b, n, share):
+                out.append((label, a + offset, b + offset, min(1.0, share)))
         return out
 
+    @staticmethod
+    def _enough(words: int, size: int) -> bool:
+        return words >= COVER * size or words >= LONG
+
     def _apart(self, found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int, int]]:
-        """Chains that cover COVER of a template of that size and don't overlap, best first; what is left between them is chained again."""
+        """Chains that cover enough of a template of that size and don't overlap, best first; what is left between them is chained again."""
         out, todo = [], [found]
         while todo:
             part = todo.pop()
             taken: list[tuple[int, int]] = []
             for c in sorted(self._chains(part), key=lambda c: (-c[3], c[0])):
-                if c[3] / size < COVER:
+                if not self._enough(c[3], size):
                     break
                 i = bisect.bisect_left(taken, c[:2])
                 if (i == 0 or taken[i - 1][1] <= c[0]) and (i == len(taken) or c[1] <= taken[i][0]):
@@ -155,7 +206,7 @@ class Scanner:
             if not taken:
                 continue
             for lo, hi in zip([-1, *(b for _, b in taken)], [*(a for a, _ in taken), part[-1][0]], strict=True):
-                if (hi - lo) / size >= COVER:
+                if self._enough(hi - lo, size):
                     near = part[bisect.bisect_right(part, lo, key=lambda x: x[0]) : bisect.bisect_right(part, hi + size, key=lambda x: x[0])]
                     # Matches that reach beyond the gap are cut to it.
                     fit = [(min(end, hi), e - max(0, end - hi), min(end, hi) - max(end - n, lo)) for end, e, n in near]
@@ -191,10 +242,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, id_col: str = "d
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.
     n_base counts the places of all phrases, first_word and last_word are the
     smallest and largest start (null without a place). labels adds those of
-    chains that cover COVER of a template; score is 1 with a phrase, else the
-    best chain's share of its template. spans lists label:first:end of such
-    chains. Null text is empty: no words, no labels, score 0. Rows repeated each
-    come back; other columns play no part.
+    licence spans; score is 1 with a phrase, else the
+    best span's share of its template. spans lists label:first:end of such
+    spans. Null text is empty: no words, no labels, score 0. Rows repeated each
+    come back; an empty table gives no rows. Other columns play no part, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -242,7 +293,7 @@ def _scan(sc: Scanner, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
             group.append((s, e))
     for s, e in group:
         seq = np.where(known[s:e], ids[s:e], -1).tolist()
-        spans[rows[s]] += [x for x in sc.spans(seq, int(s - at[rows[s]])) if x[3] >= COVER]
+        spans[rows[s]] += sc.spans(seq, int(s - at[rows[s]]))
     first = [min(p for p, _ in b) if b else None for b in base]
     last = [max(p for p, _ in b) if b else None for b in base]
     named = [",".join(sorted({x for _, x in b})) for b in base]
