@@ -193,7 +193,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     Pre-tokens are the pattern's matches, each encoded by itself; no special
     tokens. decoded_sha256 is of the bytes that the ids decode to. Null text is
-    empty: no tokens. Repeated rows each come back; other columns play no part.
+    empty: no tokens. Repeated rows each come back; an empty table gives no
+    rows. Other columns play no part, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -109,7 +109,7 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_c
     laid = cut(_starts(hits.distinct(), similarity, least).distinct())
     # The windows' own shingles, from the texts that have any.
     by = laid.groupBy("doc_id", "t").agg(F.collect_list(F.struct("k", "len", "size", "start")).alias("x"))
-    full = w.join(broadcast_if_small(by, SMALL // 10), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "w", F.explode("x").alias("x"))
+    full = w.join(F.broadcast(by) if laid.limit(SMALL + 1).count() <= SMALL else by, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "w", F.explode("x").alias("x"))
     piece = full.select("doc_id", "t", "x.*", F.expr("slice(w, x.start + 1, x.len)").alias("v"))
     keys = ["doc_id", "t", "k", "size", "start"]
     inside = None

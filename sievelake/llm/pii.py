@@ -38,8 +38,8 @@ ALPHA, SMOOTH = 1.25, 1.0
 HELD = 200_000
 #: Rows of term counts, entities or disclosures up to which they are broadcast; more are joined by shuffle.
 COUNT_ROWS = 200_000
-#: Texts with such terms up to which they are broadcast; more are joined by shuffle.
-TERM_ROWS = 20_000
+#: Terms of all texts with such terms up to which they are broadcast; more are joined by shuffle.
+TERM_ROWS = 200_000
 #: Texts with copies, or with such terms, up to which their hashes are broadcast; more are joined by shuffle.
 COPIED = 1_000_000
 
@@ -221,7 +221,7 @@ def _with_terms(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
     name, key = _terms_name(docs), _terms_name(docs, "_key")
     by = cut(found.groupBy("key").agg(F.collect_list(F.struct("term", "risk")).alias(name)).withColumnRenamed("key", key))
     keyed = docs.withColumn(key, F.xxhash64(text_col))
-    if by.limit(TERM_ROWS + 1).count() <= TERM_ROWS:
+    if (by.agg(F.sum(F.size(name) + 1)).first()[0] or 0) <= TERM_ROWS:
         return keyed.join(F.broadcast(by), key, "left").select(*docs.columns, name)
     # Only rows with disclosures are shuffled to them.
     keys = broadcast_if_small(by.select(key), COPIED)
@@ -270,7 +270,7 @@ def clean(text: str, base: list[tuple[int, int, str]], extra: list[tuple[int, in
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, smooth: float = SMOOTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with personal data replaced in their texts; texts without any, and null, stay as they are. Columns and rows stay too."""
+    """docs with personal data replaced in their texts; texts without any, null and empty ones, stay as they are. Columns and rows stay too, repeated ones each; an empty table stays empty."""
     tune(docs.sparkSession)
     joined = _with_terms(docs, disclosures(docs, text_col, alpha, smooth), text_col)
     schema = docs.schema
