@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _FROM, _TO = [], []
 _MARKED: dict[int, list[str]] = {}
@@ -77,7 +78,7 @@ def unmarked(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, "".join(_FROM), "".join(_TO)), _MARK, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd_fold(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, of any script."""
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
