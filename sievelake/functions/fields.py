@@ -51,3 +51,37 @@ def override(value: Column, action: Column, to: Column) -> Column:
 def flags(*named: tuple[str, Column]) -> Column:
     """The names of the conditions that hold, in order."""
     return F.array_compact(F.array(*[F.when(cond, name) for name, cond in named]))
+
+
+#: Letters and words of the cohort's languages.
+LOCALE_LETTERS = "čćšžđČĆŠŽĐ"
+LOCALE_WORDS = "ne|je|se|sam|si|te|mi|ti|nas|vas|sve|samo|kad|ako|kazes|zena|zene|kafana|nema|vise|jos|jedan|noc|noci|srce|ljubav|zivot|dusa|oci|bez|za|sa|na|od|do|ili|ali|jer|tekst|uzivo|spot|prevod|domaci|balkan|moje|tvoj|nocas|ujutru|ljeto|leto|nista|sta|gde|kako|volim|dodji|hocu"
+
+
+def in_cohort(c: Column) -> Column:
+    """Whether a name has one of the cohort's letters, a Cyrillic one, or one of its words without accents."""
+    from sievelake.functions.names import unmarked
+
+    return c.rlike(f"[{LOCALE_LETTERS}]") | c.rlike("[\u0400-\u04ff]") | unmarked(c).rlike(rf"(?i)\b({LOCALE_WORDS})\b")
+
+
+def output_status(c: dict[str, Column], version: str) -> Column:
+    """unreadable, unprocessed, stale_version, audio_only, incomplete or ok, in this order, of an output file: columns error, version, audio_only, artist, title, bpm."""
+    blank = lambda x: F.coalesce(x, F.lit("")) == ""
+    return F.when(c["error"].isNotNull(), "unreadable").when(blank(c["version"]), "unprocessed").when(c["version"] != version, "stale_version").when(c["audio_only"], "audio_only").when(blank(c["artist"]) | blank(c["title"]) | blank(c["bpm"]), "incomplete").otherwise("ok")
+
+
+def output_attention(c: dict[str, Column], target: float = -14.0) -> Column:
+    """What an output needs looked at, whatever its status: gain, peak, loudness target, tempo, quality, art, key, link."""
+    return flags(
+        ("rg_missing", c["gain"].isNull()),
+        ("rg_implausible", ~c["gain"].between(-30.0, 30.0)),
+        ("rg_no_peak", c["peak"].isNull()),
+        ("rg_wrong_target", c["gain"].isNotNull() & (c["reference"].isNull() | (F.abs(c["reference"] - target) > 0.01))),
+        ("bpm_disagree", c["bpm_verdict"] == "disagree"),
+        ("bpm_ambiguous", c["bpm_ambiguous"] == "half-or-double"),
+        ("low_quality", c["quality"] == "low"),
+        ("no_art", ~F.coalesce(c["art"], F.lit(False))),
+        ("key_uncertain", c["key_agreement"].startswith("1/")),
+        ("no_youtube", F.coalesce(c["video"], F.lit("")) == ""),
+    )

@@ -17,8 +17,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(id, component) of every vertex of an undirected edge table; component is the smallest id reachable.
 
     Alternates the large-star and small-star steps: O(log n) rounds, each two
-    aggregations with map-side combine, so a hub's neighbours never meet in one
-    task's memory. Null ends and self loops add no edge. No edges: no rows.
+    aggregations with map-side combine. Joins of edges with their vertex's least
+    neighbour go by vertex: a hub's edges meet in one partition, which Spark splits
+    where it is skewed, as only the hub's one row stands on the other side. Null ends and self loops add no edge. No
+    edges: no rows. Raises if max_rounds don't suffice.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     before = _digest(e)
@@ -36,6 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     tops = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(tops).groupBy("id").agg(F.min("component").alias("component"))
 
@@ -51,6 +55,8 @@ def resolve_aliases(mapping: DataFrame, max_rounds: int = 20) -> DataFrame:
         m = step
         if not changed:
             break
+    else:
+        raise RuntimeError(f"aliases are not settled after {max_rounds} rounds")
     return m.select("name", F.col("alias").alias("canonical"))
 
 

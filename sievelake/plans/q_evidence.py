@@ -75,7 +75,7 @@ def evidence_upsert_latest(events):
     return E.upsert(old, E.latest(obs.where("event_id > h"), order))
 
 
-@query("events", sql=f"""WITH {OBS} SELECT event_id, state, (state IN ('FOUND') OR epoch(TIMESTAMP '{NOW}') - epoch(date_trunc('second', seen_at)) < CASE state WHEN 'NO_MATCH' THEN 2592000 ELSE 3600 END) AS fresh FROM obs""")
+@query("events", sql=f"""WITH {OBS} SELECT event_id, state, (state IN ('FOUND') OR epoch(TIMESTAMP '{NOW}') - epoch(date_trunc('second', seen_at)) < CASE state WHEN 'NO_MATCH' THEN 2592000 WHEN 'TEMPORARY_FAILURE' THEN 21600 ELSE 3600 END) AS fresh FROM obs""")
 def evidence_ttl_fresh(events):
     return observations(events).select("event_id", "state", E.fresh(F.lit(NOW).cast("timestamp")).alias("fresh"))
 

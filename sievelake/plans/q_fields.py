@@ -8,7 +8,9 @@ from sievelake.functions import fields as X
 from sievelake.functions import text as T
 from sievelake.operators import rank as R
 from sievelake.plans.q_text import sql_norm
+from sievelake.functions.fields import LOCALE_WORDS
 from sievelake.plans.registry import query
+from sievelake.plans.standin import chosen, chosen_sql
 
 RAW = "CASE o_orderkey % 4 WHEN 0 THEN 'released ' || CAST(1890 + o_orderkey % 160 AS STRING) || '-01' WHEN 1 THEN '' ELSE CAST(1900 + o_orderkey % 120 AS STRING) END"
 CODE = "CASE o_orderkey % 3 WHEN 0 THEN 'GBAAA' || lpad(CAST(o_orderkey AS STRING), 7, '0') WHEN 1 THEN 'gb-' || CAST(o_orderkey AS STRING) END"
@@ -66,11 +68,11 @@ def group_propagation(lineitem):
     return other.join(c, ["grp", "path", "id", "source"], "left_anti")
 
 
-@query("events", sql="""WITH h AS (SELECT user_id AS path, count(DISTINCT event_type) FILTER (value > 50) AS hits, count(*) FILTER (value > 400) AS wrong FROM events GROUP BY 1)
-SELECT path, CASE WHEN hits - (wrong > 2)::INT >= 4 THEN 'A' WHEN hits - (wrong > 2)::INT >= 3 THEN 'B' ELSE 'C' END AS grade, CASE WHEN hits - (wrong > 2)::INT >= 4 THEN 0.9::DOUBLE WHEN hits - (wrong > 2)::INT >= 3 THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM h""")
+@query("events", sql="""WITH h AS (SELECT user_id AS path, count(DISTINCT event_type) FILTER (value > 400) AS hits, count(*) FILTER (value > 450) AS wrong FROM events GROUP BY 1)
+SELECT path, CASE WHEN hits - (wrong > 2)::INT >= 2 THEN 'A' WHEN hits - (wrong > 2)::INT = 1 THEN 'B' ELSE 'C' END AS grade, CASE WHEN hits - (wrong > 2)::INT >= 2 THEN 0.9::DOUBLE WHEN hits - (wrong > 2)::INT = 1 THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM h""")
 def corroboration_grade(events):
-    h = events.groupBy(F.col("user_id").alias("path")).agg((F.countDistinct(F.when(F.col("value") > 50, F.col("event_type"))) - (F.count_if(F.col("value") > 400) > 2).cast("int")).alias("n"))
-    return h.select("path", F.when(F.col("n") >= 4, "A").when(F.col("n") >= 3, "B").otherwise("C").alias("grade"), F.when(F.col("n") >= 4, 0.9).when(F.col("n") >= 3, 0.8).otherwise(0.7).alias("confidence"))
+    h = events.groupBy(F.col("user_id").alias("path")).agg((F.countDistinct(F.when(F.col("value") > 400, F.col("event_type"))) - (F.count_if(F.col("value") > 450) > 2).cast("int")).alias("n"))
+    return h.select("path", F.when(F.col("n") >= 2, "A").when(F.col("n") == 1, "B").otherwise("C").alias("grade"), F.when(F.col("n") >= 2, 0.9).when(F.col("n") == 1, 0.8).otherwise(0.7).alias("confidence"))
 
 
 @query("documents", sql="""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), f AS (SELECT word, count(*) AS df FROM w GROUP BY 1)
@@ -114,10 +116,14 @@ def content_markers(documents):
     return documents.select("doc_id", F.sha1(b).alias("sha1"), F.sha2(b, 256).alias("sha256"), F.when(F.length("text") > 120, F.concat(F.lit("#"), F.substring(F.sha2(b, 256), 1, 16))).otherwise(F.col("text")).alias("marker"))
 
 
-@query("documents", sql="""SELECT doc_id, regexp_matches(text, '[šđčćžŠĐČĆŽéèñßüö]') OR regexp_matches(lower(text), '\\b(und|der|los|les)\\b') AS cohort FROM documents""".replace("\\\\", "\\"))
+_LOCALE = ["Tiha noć", "ljubav", "Šuma", "Кафана", "hello world", "Ti si moj", "NEMA", "Zenaida", "kaže", ""]
+
+
+@query("documents", sql=f"""WITH t AS (SELECT doc_id, {chosen_sql('doc_id', _LOCALE)} || ' ' || coalesce(left(text, 30), '') AS name FROM documents)
+SELECT doc_id, regexp_matches(name, '[čćšžđČĆŠŽĐ]') OR regexp_matches(name, '[\\x{{0400}}-\\x{{04FF}}]') OR regexp_matches(strip_accents(name), '\\b({LOCALE_WORDS})\\b', 'i') AS cohort FROM t""")
 def locale_cohort(documents):
-    """Texts with a special letter or a stop word of the cohort."""
-    return documents.select("doc_id", (F.col("text").rlike("[šđčćžŠĐČĆŽéèñßüö]") | F.lower("text").rlike(r"\b(und|der|los|les)\b")).alias("cohort"))
+    """Names with a letter of the cohort or in Cyrillic, or with one of its words once accents are off."""
+    return documents.select("doc_id", X.in_cohort(F.concat(chosen("doc_id", _LOCALE), F.lit(" "), F.coalesce(F.substring("text", 1, 30), F.lit("")))).alias("cohort"))
 
 
 @query("orders", sql="SELECT o_orderstatus AS state, year(o_orderdate) AS y, count(*) AS n, CAST(GROUPING(o_orderstatus) + GROUPING(year(o_orderdate)) AS BIGINT) AS level FROM orders GROUP BY ROLLUP (o_orderstatus, year(o_orderdate))")

@@ -9,8 +9,10 @@ from sievelake.functions import measures as M
 from sievelake.functions import text as T
 from sievelake.operators import graph as G
 from sievelake.operators import rank as R
+from sievelake.operators import shelves as S
 from sievelake.plans.q_text import sql_norm
 from sievelake.plans.registry import query
+from sievelake.runtime import cut
 
 
 
@@ -94,12 +96,12 @@ r(id, to_) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.id, u.b FROM r JOIN u
 SELECT id AS doc_id, min(to_) AS component FROM r GROUP BY 1""")
 def duplicate_components(documents):
     """Documents that share a normal form, or source and length, directly or over others."""
-    n = documents.select("doc_id", F.md5(T.norm(F.col("text")).cast("binary")).alias("k1"), F.concat_ws(":", "source", "n_chars").alias("k2"))
+    n = cut(documents.select("doc_id", F.md5(T.norm(F.col("text")).cast("binary")).alias("k1"), F.concat_ws(":", "source", "n_chars").alias("k2")))
     edges = None
     for k in ("k1", "k2"):
         e = n.join(n.groupBy(k).agg(F.min("doc_id").alias("dst"), F.count(F.lit(1)).alias("m")).where("m > 1"), k).select(F.col("doc_id").alias("src"), "dst")
         edges = e if edges is None else edges.unionByName(e)
-    comp = G.connected_components(edges)
+    comp = G.connected_components(cut(edges))
     return n.select("doc_id").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
@@ -173,8 +175,8 @@ def claim_once(lineitem):
     return lineitem.groupBy(F.col("l_partkey").alias("video")).agg(F.min_by("l_orderkey", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("song"), F.count(F.lit(1)).alias("claims"))
 
 
-@query("orders", sql="SELECT o_orderkey, o_orderpriority AS tier, CAST((row_number() OVER (PARTITION BY o_orderpriority, year(o_orderdate) ORDER BY o_orderkey) - 1) // 50 AS BIGINT) AS batch FROM orders WHERE o_orderstatus <> 'P'")
+@query("orders", sql="SELECT o_orderkey, o_orderpriority AS tier, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 50 AS BIGINT) AS batch FROM orders WHERE o_orderstatus <> 'P'")
 def submit_batches(orders):
-    """Batches of fifty within tier and year, so no single task numbers all rows."""
-    w = Window.partitionBy("o_orderpriority", F.year("o_orderdate")).orderBy("o_orderkey")
-    return orders.where("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_orderpriority").alias("tier"), F.floor((F.row_number().over(w) - 1) / 50).alias("batch"))
+    """Batches of fifty within each tier."""
+    d = orders.where("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_orderpriority").alias("tier"))
+    return S.numbered(d, ["tier"], [F.col("o_orderkey")], "n").select("o_orderkey", "tier", F.floor((F.col("n") - 1) / 50).alias("batch"))

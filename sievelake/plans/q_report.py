@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import timed
+from sievelake.operators import shelves as S
 from sievelake.plans.registry import query
 
 
@@ -28,13 +29,12 @@ def crate_export(orders, lineitem):
 
 
 @query("orders", "labels", sql="""WITH t AS (SELECT o_orderkey AS id, round(least(1.0, o_totalprice / 400000), 4) AS confidence, CASE WHEN quality = 0 THEN 'confirm' WHEN o_orderstatus = 'P' THEN 'unknown' WHEN o_totalprice / 400000 >= 0.9 THEN NULL ELSE 'verify' END AS sheet FROM orders LEFT JOIN labels ON doc_id = o_orderkey)
-SELECT sheet, id, confidence, row_number() OVER (PARTITION BY sheet, id % 16 ORDER BY confidence, id) AS rank FROM t WHERE sheet IS NOT NULL""")
+SELECT sheet, id, confidence, row_number() OVER (PARTITION BY sheet ORDER BY confidence, id) AS rank FROM t WHERE sheet IS NOT NULL""")
 def review_sheets(orders, labels):
-    """Rows for review by sheet, worst first; each sheet is numbered in sixteen parts so that none grows with the table."""
+    """Rows for review by sheet, numbered from 1, worst first."""
     sheet = F.when(F.col("quality") == 0, "confirm").when(F.col("o_orderstatus") == "P", "unknown").when(F.col("o_totalprice") / 400000 >= 0.9, None).otherwise("verify")
     t = orders.join(labels, orders.o_orderkey == labels.doc_id, "left").select(F.col("o_orderkey").alias("id"), F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 400000), 4).alias("confidence"), sheet.alias("sheet")).where("sheet IS NOT NULL")
-    w = Window.partitionBy("sheet", F.col("id") % 16).orderBy("confidence", "id")
-    return t.select("sheet", "id", "confidence", F.row_number().over(w).cast("long").alias("rank"))
+    return S.numbered(t, ["sheet"], [F.col("confidence"), F.col("id")]).select("sheet", "id", "confidence", "rank")
 
 
 @query("events", "lineitem", sql="""WITH c AS (SELECT DISTINCT user_id AS path, 'v' || (event_id % 5) AS video, CASE event_id % 3 WHEN 0 THEN 'origin' WHEN 1 THEN 'exact' ELSE 'search' END AS tier, event_type AS source FROM events),

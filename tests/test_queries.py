@@ -7,6 +7,10 @@ from conftest import DATA
 from sievelake.plans import catalogue
 
 
+#: Queries that find nothing in the smallest tables.
+EMPTY: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def con():
     return oracle.connect(DATA)
@@ -15,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_twin(spark, con, name):
     said = oracle.compare(spark, con, DATA, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name])
-    assert said in ("", "no rows"), said
+    assert said == "" or (said == "no rows" and name in EMPTY), said
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
