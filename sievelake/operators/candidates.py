@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import names as N
 from sievelake.functions.text import sequence_ratio
+from sievelake.runtime import cut
 
 #: Rank of a release's type; weight of a name by how far it is trusted; confidence of a grade; order in which a source's album and cover are taken.
 TYPE_RANK = {"Album": 0, "EP": 1, "Single": 2, "Compilation": 5, "Live": 6, "Soundtrack": 6, "Remix": 6, "Broadcast": 8, "Other": 8}
@@ -36,12 +37,6 @@ def release_rank(kind: Column, secondary: Column, artists: Column, recorded_by:
     return mapped(kind, TYPE_RANK, 7) + F.when(secondary, 4).otherwise(0) + credit + F.when(t.rlike(COMPILATION), 3).otherwise(0) + F.when(t.rlike(BOOTLEG), 6).otherwise(0)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Matching-blocks ratio of two names' identity forms; 0 if one is blank."""
-    x, y = N.norm_identity(a), N.norm_identity(b)
-    return F.when((x == "") | (y == ""), 0.0).otherwise(sequence_ratio(x, y))
-
-
 def best_fit(readings: list[tuple[Column, Column, Column, Column]]) -> Column:
     """struct(fit, artist_similarity, title_similarity) of the best reading (is there one, has it an artist, artist similarity, title similarity); of equal ones the first."""
     tried = [F.when(there, F.struct(F.when(has, 0.4 * a + 0.6 * t).otherwise(t).alias("fit"), F.lit(-i).alias("first"), F.when(has, a).otherwise(0.0).alias("a"), t.alias("t"))) for i, (there, has, a, t) in enumerate(readings)]
@@ -49,12 +44,23 @@ def best_fit(readings: list[tuple[Column, Column, Column, Column]]) -> Column:
     return F.struct(best["fit"].alias("fit"), best["a"].alias("artist_similarity"), best["t"].alias("title_similarity"))
 
 
-def name_fit(artist: Column, title: Column, credited: list[Column], found: Column) -> Column:
-    """best_fit() of artist and title against credited artists and a found title, read in both orders, and with an act featured in the title for the artist."""
-    feat = F.regexp_replace(F.regexp_extract(N.blank(title), N.FEATURED_BY, 1), r"^[ ()\[\]]+|[ ()\[\]]+$", "")
-    most = lambda x: reduce(lambda p, q: F.greatest(p, q), [similarity(x, c) for c in credited])
-    there, both = N.blank(artist) != "", (N.blank(artist) != "") & (N.blank(title) != "")
-    return best_fit([(F.lit(True), there, most(artist), similarity(title, found)), (both, F.lit(True), most(title), similarity(artist, found)), (N.blank(title).rlike(N.FEATURED_BY), feat != "", most(feat), similarity(title, found))])
+def with_name_fit(pairs: DataFrame, artist: str, title: str, credited: list[str], found: str, name: str = "f") -> DataFrame:
+    """pairs with column `name`: best_fit() of artist and title against credited artists and a found title, read in both orders, and with an act featured in the title for the artist.
+
+    Similarities are matching-blocks ratios of identity forms, 0 where one is blank. Each is worked out once, as a column of its own, before they are weighed.
+    """
+    feat = F.regexp_replace(F.regexp_extract(N.blank(F.col(title)), N.FEATURED_BY, 1), r"^[ ()\[\]]+|[ ()\[\]]+$", "")
+    d = pairs.withColumn("_feat", feat)
+    plain = {"_a": artist, "_t": title, "_f": "_feat", "_g": found} | {f"_c{i}": c for i, c in enumerate(credited)}
+    d = d.withColumns({k: N.norm_identity(F.col(v)) for k, v in plain.items()})
+    asked = [("_t", "_g"), ("_a", "_g")] + [(w, f"_c{i}") for w in ("_a", "_t", "_f") for i in range(len(credited))]
+    d = d.withColumns({f"_s{x}{y}": sequence_ratio(F.col(x), F.col(y)) for x, y in asked})
+    s = lambda x, y: F.when((F.col(x) == "") | (F.col(y) == ""), 0.0).otherwise(F.col(f"_s{x}{y}"))
+    d = cut(d)
+    most = lambda x: reduce(lambda p, q: F.greatest(p, q), [s(x, f"_c{i}") for i in range(len(credited))])
+    has = lambda c: N.blank(F.col(c)) != ""
+    fit = best_fit([(F.lit(True), has(artist), most("_a"), s("_t", "_g")), (has(artist) & has(title), F.lit(True), most("_t"), s("_a", "_g")), (N.blank(F.col(title)).rlike(N.FEATURED_BY), F.col("_feat") != "", most("_f"), s("_t", "_g"))])
+    return d.select(*pairs.columns, fit.alias(name))
 
 
 def heard_score(heard: Column, fit: Column, title: Column, trust: Column) -> Column:

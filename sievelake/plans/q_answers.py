@@ -13,6 +13,7 @@ from sievelake.functions import names as N
 from sievelake.operators import candidates as C
 from sievelake.plans.registry import query
 from sievelake.plans.standin import chosen, chosen_sql, sql_text
+from sievelake.runtime import broadcast_if_small, cut
 
 ANSWERS = ["y", " DA ", "n", "-", "drop", "Obriši", "redownload", "download again", "https://youtu.be/abcdefghijk (Blackbear is the artist)", "see http://x.org/a, title: Zora; album = Blue", "trim=n", "trim: yes", "trim maybe", "intro=7,5", "intro y", "intro: 31", "artist: Ana; title=Zora | version: live", "year=1999", "version=live", "mood=sad", "same as the one above", "", None, "artist=; title: A", "https://www.youtube.com/results?search_query=a+b%20c", "https://notyoutube.com/results?q=1", "https://duckduckgo.com/?q=zora", "https://duckduckgo.com/", "https://open.spotify.com/track/1", "intro=1e1"]
 
@@ -132,8 +133,8 @@ def _candidates(lineitem):
 def _fitted(lineitem):
     """Candidates with their fits. Each pair of names is compared once, not each candidate."""
     d = _candidates(lineitem)
-    pairs = d.select("wa", "wt", "fa", "ft").distinct()
-    pairs = pairs.select(*[F.col(c).alias(f"_{c}") for c in pairs.columns], C.name_fit(F.col("wa"), F.col("wt"), [F.col("fa")], F.col("ft")).alias("f"))
+    pairs = C.with_name_fit(d.select("wa", "wt", "fa", "ft").distinct(), "wa", "wt", ["fa"], "ft")
+    pairs = broadcast_if_small(cut(pairs.select(*[F.col(c).alias(f"_{c}") for c in ("wa", "wt", "fa", "ft")], "f")))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("wa", "wt", "fa", "ft")]
     return d.join(pairs, on).drop("_wa", "_wt", "_fa", "_ft")
 

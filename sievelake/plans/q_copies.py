@@ -176,13 +176,14 @@ def _set(x):
 
 
 @query("orders", "supplier", sql=f"""WITH t AS (SELECT o_orderkey AS track, {chosen_sql('o_orderkey', _TT)} AS title, {_set(chosen_sql('o_custkey', _AA))} AS s FROM orders), tf AS (SELECT track, title, s, p AS pos, ({_forms('title')})[p] AS form FROM t, (VALUES (1), (2), (3)) AS x(p) WHERE len(s) > 0),
-k AS (SELECT s_suppkey AS record, {chosen_sql('s_suppkey', _TT)} AS title, {_set(chosen_sql('s_suppkey // 2', _AA))} AS s FROM supplier), kf AS (SELECT DISTINCT record, title, s, ({_forms('title')})[p] AS form FROM k, (VALUES (1), (2), (3)) AS x(p)),
+k AS (SELECT DISTINCT r AS record, {chosen_sql('r', _TT)} AS title, {_set(chosen_sql('r // 2', _AA))} AS s FROM (SELECT s_suppkey % 11 AS r FROM supplier)), kf AS (SELECT DISTINCT record, title, s, ({_forms('title')})[p] AS form FROM k, (VALUES (1), (2), (3)) AS x(p)),
 h AS (SELECT track, pos, count(DISTINCT record) AS n, min(record) AS record FROM tf JOIN kf ON tf.form = kf.form AND tf.form <> '' WHERE (len(list_filter(kf.s, lambda y: NOT list_contains(tf.s, y))) = 0 OR len(list_filter(tf.s, lambda y: NOT list_contains(kf.s, y))) = 0) AND {_VER.format('tf.title')} = {_VER.format('kf.title')} GROUP BY 1, 2)
 SELECT track, arg_min(record, pos) AS record FROM h GROUP BY 1 HAVING arg_min(n, pos) = 1""")
 def catalogue_match(orders, supplier):
     """Tracks that exactly one catalogue record matches, by title forms and sets of artists."""
-    half = F.element_at(F.array(*map(F.lit, _AA)), (F.floor(F.col("s_suppkey") / 2) % len(_AA) + 1).cast("int"))
-    return P.catalogue_match(orders.select(F.col("o_orderkey").alias("track"), chosen("o_custkey", _AA).alias("artist"), chosen("o_orderkey", _TT).alias("title")), supplier.select(F.col("s_suppkey").alias("record"), half.alias("artist"), chosen("s_suppkey", _TT).alias("title")))
+    r = supplier.select((F.col("s_suppkey") % 11).alias("r")).distinct()
+    half = F.element_at(F.array(*map(F.lit, _AA)), (F.floor(F.col("r") / 2) % len(_AA) + 1).cast("int"))
+    return P.catalogue_match(orders.select(F.col("o_orderkey").alias("track"), chosen("o_custkey", _AA).alias("artist"), chosen("o_orderkey", _TT).alias("title")), r.select(F.col("r").alias("record"), half.alias("artist"), chosen("r", _TT).alias("title")))
 
 
 @query("part", "lineitem", sql="""WITH one AS (SELECT p_name AS name, min(p_partkey) AS part, count(*) AS n FROM part GROUP BY 1), two AS (SELECT lower(p_brand || '|' || p_type) AS key, max(p_partkey) AS last, min(p_partkey) AS first FROM part GROUP BY 1)
