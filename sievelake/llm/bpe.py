@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.arrays import tune
+from sievelake.llm.arrays import rested, tune
 
 #: Pre-tokens that a task remembers; when full it starts anew.
-CACHE = 800_000
+CACHE = 250_000
 
 
 class PerfectHash:
@@ -219,7 +219,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     full.append(kept)
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(ih), pa.array(dh)] + ([pa.array(full, pa.list_(pa.int32()))] if ids else [])
                 yield pa.RecordBatch.from_arrays(cols, names)
+        c.seen.clear()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
     tune(docs.sparkSession)
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(rested(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -257,7 +257,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, id_col: str = "d
 
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     A.tune(docs.sparkSession)
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(A.rested(run), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
 
 
 def _scan(sc: Scanner, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[pa.Array]:

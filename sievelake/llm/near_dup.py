@@ -115,7 +115,7 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, m), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), keys, bits], ["doc_id", "n", "c1", "c2", "bands", "bits"])
 
     A.tune(docs.sparkSession)
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n long, c1 long, c2 long, bands array<long>, bits binary")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(A.rested(run), f"doc_id {kind}, n long, c1 long, c2 long, bands array<long>, bits binary")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -128,7 +128,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 edge = np.append(0, np.cumsum(np.bincount(rows, minlength=to - at))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.ListArray.from_arrays(pa.array(edge), pa.array(h.view(np.int64)))], ["doc_id", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hashes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(A.rested(run), f"doc_id {kind}, hashes array<long>")
 
 
 def _bitmaps(h: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.arrays import tune
+from sievelake.llm.arrays import rested, tune
 from sievelake.runtime import broadcast_if_small, cut
 
 #: Winning paths of a host, which its pages try in turn; a page that has none of them is read at its own best box.
@@ -183,7 +183,7 @@ def winners(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
                     sums[host, path] = sums.get((host, path), 0.0) + share
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.float64())], ["host", "path", "votes"])
 
-    counted = pages.select(host_of(F.col(url_col)).alias("host"), html_col).mapInArrow(run, "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
+    counted = pages.select(host_of(F.col(url_col)).alias("host"), html_col).mapInArrow(rested(run), "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
     return _ranked(counted)
 
 
@@ -213,4 +213,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 text = [text_at(p, paths or []) if p else "" for p, paths in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return read_at.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return read_at.mapInArrow(rested(run), f"page_id {kind}, url string, text string, n_chars long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.arrays import tune
+from sievelake.llm.arrays import rested, tune
 from sievelake.runtime import broadcast_if_small, cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -135,7 +135,7 @@ def said(docs: DataFrame, text_col: str) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64()))], ["key", "entities", "terms"])
 
-    found = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).mapInArrow(run, "key long, entities array<long>, terms array<long>")
+    found = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).mapInArrow(rested(run), "key long, entities array<long>, terms array<long>")
     return found.groupBy("key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
 
 
@@ -166,7 +166,7 @@ def term_counts(docs: DataFrame, text_col: str, copied: DataFrame) -> DataFrame:
     many = broadcast_if_small(copied.where("copies > 1").select("key", F.col("copies").alias("c")), COPIED)
     rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).join(many, "key", "left").select("text", F.coalesce("c", F.lit(1)).alias("c"))
     # The rows of one text give c times 1 / c; the sum over all is a whole number but for rounding.
-    return rows.mapInArrow(run, "term long, copies long, n long").groupBy("term").agg(F.round(F.sum(F.col("n") / F.col("copies"))).cast("long").alias("n_t"))
+    return rows.mapInArrow(rested(run), "term long, copies long, n long").groupBy("term").agg(F.round(F.sum(F.col("n") / F.col("copies"))).cast("long").alias("n_t"))
 
 
 def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, smooth: float = SMOOTH) -> DataFrame:
@@ -256,7 +256,7 @@ def find(docs: DataFrame, alpha: float = ALPHA, smooth: float = SMOOTH, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(sums, pa.string()), pa.array(said, pa.string()), pa.array(more, pa.int64())], names)
 
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_term"]
-    return joined.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
+    return joined.mapInArrow(rested(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
 
 
 def clean(text: str, base: list[tuple[int, int, str]], extra: list[tuple[int, int, str]]) -> str:
@@ -282,4 +282,4 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, smooth: float = SMOOTH, id_c
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     at = schema.names.index(text_col)
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(rested(run), schema)

@@ -75,7 +75,7 @@ def counts(texts: DataFrame, folds: int = 1) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(total[has])], ["bucket", "n"])
 
     out = np.zeros(folds * BUCKETS, np.int64)
-    for r in texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in texts.mapInArrow(A.rested(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["bucket"]] = r["n"]
     return out.reshape(folds, BUCKETS)
 
@@ -104,7 +104,7 @@ def means(docs: DataFrame, tables: np.ndarray, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(w / np.maximum(n, 1), mask=n == 0)], ["doc_id", "mean"])
 
     A.tune(docs.sparkSession)
-    return docs.select(F.col(id_col), F.col(text_col), F.col("fold")).mapInArrow(run, f"doc_id {kind}, mean double")
+    return docs.select(F.col(id_col), F.col(text_col), F.col("fold")).mapInArrow(A.rested(run), f"doc_id {kind}, mean double")
 
 
 def weights(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
