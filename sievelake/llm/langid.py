@@ -113,8 +113,13 @@ def letters(text: str | None) -> bool:
 def drawn(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample_rows: int) -> DataFrame:
     """(label, windows): PER_TEXT windows, drawn from the whole text by its checksum, of the sample_rows rows of each label with the smallest id hashes."""
     some = labelled.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0) & F.col(id_col).isNotNull())
-    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    ids = some.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_rows).select("id").distinct()
+    h = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    keys = some.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label")).withColumn("h", h)
+    # Hashes are even over their range, so of a label's n rows about half as many again as are wanted lie under this bound: only they are ranked.
+    bound = keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", F.least(F.lit(float(1 << 63)), F.lit(1.5 * sample_rows + 100) / F.col("n") * float(1 << 63)).alias("bound"))
+    first = Window.partitionBy("label").orderBy("h", "id")
+    near = keys.join(broadcast_if_small(cut(bound)), "label").where(F.col("h") <= F.col("bound"))
+    ids = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_rows).select("id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +133,7 @@ def drawn(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sampl
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(found, pa.binary())], ["label", "windows"])
 
     rows = some.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    return rows.join(broadcast_if_small(cut(ids)), "id", "left_semi").select("label", "text").mapInArrow(run, "label string, windows binary")
+    return rows.join(broadcast_if_small(cut(ids)), "id", "left_semi").select("label", "text").mapInArrow(A.rested(run), "label string, windows binary")
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Network | None:
@@ -168,7 +173,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     A.tune(docs.sparkSession)
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(A.rested(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def _sums(net: Network | None, texts: list[str | None], most: int = 1024) -> list[np.ndarray | None]:
