@@ -157,10 +157,13 @@ def located(words: Column, anchor: Column, slack: int = 2, tolerance: float = 0.
         window = F.transform(F.slice(words, i + 1, n + slack), lambda x: x["token"])
         return F.struct((F.size(F.filter(anchor, lambda t: F.array_contains(window, t))) / n).alias("score"), w["time"].alias("time"))
 
-    all_ = F.transform(words, scored)
-    best = F.array_max(F.transform(all_, lambda x: x["score"]))
-    first = F.get(F.filter(all_, lambda x: x["score"] >= best - tolerance), 0)
-    return F.when((n > 0) & (best > 0), F.struct(first["time"].alias("start"), best.alias("score")))
+    # Scores and the best of them are bound to names, so each is worked out once.
+    def chosen(a):
+        best = F.array_max(F.transform(a, lambda x: x["score"]))
+        at = lambda m: F.get(F.filter(a, lambda x: x["score"] >= m - tolerance), 0)["time"]
+        return F.transform(F.array(best), lambda m: F.when(m > 0, F.struct(at(m).alias("start"), m.alias("score"))))[0]
+
+    return F.when(n > 0, F.transform(F.array(F.transform(words, scored)), chosen)[0])
 
 
 def from_milliseconds(lines: Column) -> Column:
