@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelake.operators import scan
+
 
 def best(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group by a total order, with map-side combine."""
@@ -19,11 +21,11 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "
 
 
 def islands(df: DataFrame, by: list[str], value: str, tie: str, floor: float, share: float) -> DataFrame:
-    """df with column island: a new one where the gap to the value before is over max(floor, share of the larger)."""
-    w = Window.partitionBy(*by).orderBy(value, tie)
-    prev = F.lag(value).over(w)
-    gap = F.when(F.col(value) - prev > F.greatest(F.lit(floor), F.lit(share) * F.greatest(prev, value)), 1).otherwise(0)
-    return df.withColumn("_gap", gap).withColumn("island", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_gap")
+    """df with column island: a new one where the gap to the value before is over max(floor, share of the larger). Numbers from 0 in each group; a group may be as large as the table."""
+    d = scan.ordered(df, by, [F.col(value), F.col(tie)])
+    d = scan.previous(d, by, F.col(value), "_prev")
+    gap = F.when(F.col(value) - F.col("_prev") > F.greatest(F.lit(floor), F.lit(share) * F.greatest("_prev", value)), 1).otherwise(0)
+    return scan.plain(scan.running(d, by, gap.cast("long"), "island").drop("_prev"))
 
 
 def band_pairs(df: DataFrame, key: str, value: str, width: float, by: list[str]) -> DataFrame:
