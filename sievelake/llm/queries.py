@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import bpe, fingerprints, langid, leaks, licences, mixing, near_dup, pages, pii, quality, repeats, whitening
-from sievelake.runtime import table
+from sievelake.llm import bpe, fingerprints, langid, leaks, lexical, licences, mixing, near_dup, pages, pii, quality, repeats, whitening
+from sievelake.runtime import cut, table
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +52,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(cut(lexical.index(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "benchmark"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_pii, op3_benchmark_leaks, op4_near_duplicates, op5_main_text, op6_byte_bpe, op7_language_id, op8_fingerprints, op9_quality, op10_licences, op11_whitening, op13_mixing)}
-ORACLE_SQL: dict[str, str] = {"op13_mixing": mixing.sql()}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_pii, op3_benchmark_leaks, op4_near_duplicates, op5_main_text, op6_byte_bpe, op7_language_id, op8_fingerprints, op9_quality, op10_licences, op11_whitening, op12_search, op13_mixing)}
+ORACLE_SQL: dict[str, str] = {"op12_search": lexical.sql(), "op13_mixing": mixing.sql()}
