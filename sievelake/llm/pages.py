@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +17,8 @@ from sievelake.runtime import broadcast_if_small, cut
 
 #: Winning paths of a host, which its pages try in turn; a page that has none of them is read at its own best box.
 RANKS = 5
+#: Share of a box's text that its parent must have outside the box, to stand for it, and that the page must have outside all boxes; steps of a path that are spelled; least share of a page's vote that counts.
+SHARE, LOOSE, DEEP, LEAST = 0.05, 0.2, 32, 1e-6
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -61,27 +65,71 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
-def read(page: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[str, int, int, float]]]:
-    """Pieces (text, in a link, starts a block) that aren't boilerplate, and boxes (path, first piece, end piece, score).
+class Box:
+    """A container that isn't boilerplate: its place among the pieces, the text and link text in it, and its score."""
+
+    __slots__ = ("parent", "step", "depth", "digest", "first", "end", "score", "text", "links", "article", "goal")
+
+    def __init__(self, parent: Box | None, step: str, first: int, article: bool):
+        self.parent, self.step, self.first, self.end, self.article = parent, step, first, first, article
+        self.depth = parent.depth + 1 if parent else 1
+        self.digest = hashlib.blake2b((parent.digest if parent else b"") + step.encode("utf-8", "replace"), digest_size=8).digest()
+        self.score, self.text, self.links = 0.0, 0, 0
+        self.goal = self
+
+    def path(self) -> str:
+        """Steps from the root; of a deep box the digest of its path and its last DEEP steps."""
+        steps, at = [], self
+        while at and len(steps) < DEEP:
+            if at.step:
+                steps.append(at.step)
+            at = at.parent
+        return ">".join([*([f"#{self.digest.hex()}"] if at and at.step else []), *reversed(steps)])
+
+
+def _grow(boxes: list[Box]) -> None:
+    """Sets each box's goal, the container that it stands for; boxes come in order of their opening.
+
+    A box in an article stands for the outermost article. Another, or an article in a main element, stands for what its parent stands for where the
+    parent has text outside the box of at least SHARE of its own, less the links there, or itself stands for more.
+    """
+    for b in boxes:
+        p = b.parent
+        if p is None or b.step.split(".")[0] == "main":
+            continue
+        if p.article:
+            b.goal = p.goal
+        elif not b.article or p.step.split(".")[0] == "main":
+            outside = p.text - b.text - (p.links - b.links)
+            if outside > 0 and outside >= (SHARE if p.step else LOOSE) * b.text or p.goal is not p:
+                b.goal = p.goal
+
+
+def read(page: str) -> tuple[list[tuple[str, bool, bool]], list[Box]]:
+    """Pieces (text, in a link, starts a block) that aren't boilerplate, and boxes in order of their opening.
 
     A box scores the length of the texts that stand in it directly, less what
     is in links, and half of what its inner boxes score.
     """
     pieces: list[tuple[str, bool, bool]] = []
-    boxes: list[tuple[str, int, int, float]] = []
-    stack: list[list] = []  # tag, path, first piece, skipped, score
+    boxes: list[Box] = []
+    stack: list[tuple[str, bool, Box | None]] = []  # tag, boilerplate, box outside of boilerplate
+    open_: Counter[str] = Counter()
     skip = links = 0
     block = True
     at = 0
 
     def close() -> None:
         nonlocal skip
-        _, path, first, gone, score = stack.pop()
+        tag, gone, box = stack.pop()
+        open_[tag] -= 1
         skip -= gone
-        if not gone and not skip:
-            boxes.append((path, first, len(pieces), score))
-            if stack:
-                stack[-1][4] += score / 2
+        if box:
+            box.end = len(pieces)
+            if p := box.parent:
+                p.score += box.score / 2
+                p.text += box.text
+                p.links += box.links
 
     def say(text: str) -> None:
         nonlocal block
@@ -90,9 +138,13 @@ def read(page: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[str, int,
         if not text.isspace():
             pieces.append((text, links > 0, block))
             block = False
-            if stack:
+            if stack and (box := stack[-1][2]):
                 n = len(text.strip())
-                stack[-1][4] += -n / 2 if links else n
+                box.score += -n / 2 if links else n
+                if links:
+                    box.links += n
+                else:
+                    box.text += n
         elif not block:
             pieces.append((text, links > 0, False))
 
@@ -106,7 +158,7 @@ def read(page: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[str, int,
         if m["end"]:
             if tag in _BOXES:
                 block = True
-                if any(s[0] == tag for s in stack):
+                if open_[tag]:
                     while stack[-1][0] != tag:
                         close()
                     close()
@@ -121,7 +173,13 @@ def read(page: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[str, int,
             attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(raw)} if raw.strip() else {}
             gone = _boiler(tag, attrs)
             skip += gone
-            stack.append([tag, (stack[-1][1] + ">" if stack else "") + _step(tag, attrs), len(pieces), gone, 0.0])
+            box = None
+            if not skip:
+                parent = stack[-1][2] if stack else None
+                box = Box(parent, _step(tag, attrs), len(pieces), tag == "article" or bool(parent and parent.article))
+                boxes.append(box)
+            stack.append((tag, gone, box))
+            open_[tag] += 1
             block, links = True, 0
         elif tag == "a":
             links = 1
@@ -130,11 +188,30 @@ def read(page: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[str, int,
     say(page[at:])
     while stack:
         close()
-    if not boxes:
-        boxes.append(("", 0, len(pieces), 1.0))
+    if not boxes or sum(b.end - b.first for b in boxes if b.parent is None) < len(pieces):
+        boxes = _rooted(pieces, boxes)
+    _grow(boxes)
     return pieces, boxes
 
 
+def _rooted(pieces: list[tuple[str, bool, bool]], boxes: list[Box]) -> list[Box]:
+    """boxes under one more, the page, as a page may have text outside all of its boxes."""
+    root = Box(None, "", 0, False)
+    inside = 0
+    root.end = len(pieces)
+    for b in boxes:
+        if b.parent is None:
+            b.parent = root
+            root.score += b.score / 2
+            inside += b.text + b.links
+    for text, link, _ in pieces:
+        n = len(text.strip())
+        root.text += 0 if link else n
+        root.links += n if link else 0
+    root.score += max(1.0, root.text + root.links - inside)
+    return [root, *boxes]
+
+
 def joined(pieces: list[tuple[str, bool, bool]]) -> str:
     """Character references decoded, white space of a block made one space, blocks joined by one space."""
     blocks: list[str] = []
@@ -147,23 +224,36 @@ def joined(pieces: list[tuple[str, bool, bool]]) -> str:
 
 
 def votes(page: str) -> list[tuple[str, float]]:
-    """The page's paths with their shares of its vote."""
-    by: dict[str, float] = {}
-    for path, _, _, score in read(page)[1]:
-        if score > 0:
-            by[path] = by.get(path, 0.0) + score
+    """The paths of the containers that the page's boxes stand for, with their shares of its vote."""
+    by: dict[Box, float] = {}
+    for b in read(page)[1]:
+        if b.score > 0:
+            by[b.goal] = by.get(b.goal, 0.0) + b.score
     total = sum(by.values())
-    return [(p, s / total) for p, s in sorted(by.items())]
+    named: dict[str, float] = {}
+    for b, score in by.items():
+        if score >= LEAST * total:
+            path = b.path()
+            named[path] = named.get(path, 0.0) + score / total
+    return sorted(named.items())
 
 
 def text_at(page: str, paths: list[str]) -> str:
-    """The page's text along the first of the paths that it has text at, else at its own best box."""
+    """The page's text along the first of the paths that it has text at, else at its own best container. A box on the path gives the text of the container that it stands for on this page."""
     pieces, boxes = read(page)
-    own = [p for p, _ in sorted(((p, s) for p, _, _, s in boxes), key=lambda x: (-x[1], x[0]))[:1]]
-    for path in [*paths, *own]:
-        spans = sorted((a, -b) for p, a, b, _ in boxes if p == path)
+    wanted = dict.fromkeys(paths)
+    last = {p.rpartition(">")[2] for p in wanted}
+    on: dict[str, list[Box]] = {}
+    for b in boxes:
+        if b.step in last and (path := b.path()) in wanted:
+            on.setdefault(path, []).append(b.goal)
+    own: dict[Box, float] = {}
+    for b in boxes:
+        own[b.goal] = own.get(b.goal, 0.0) + b.score
+    best = max(own, key=lambda b: (own[b], -b.first, b.depth))
+    for found in [*(on[p] for p in paths if p in on), [best]]:
         out, done = [], 0
-        for a, b in spans:
+        for a, b in sorted((x.first, -x.end) for x in found):
             if -b > done:
                 out += pieces[max(a, done) : -b]
                 done = -b
