@@ -107,7 +107,7 @@ class Network:
 
 
 def letters(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
 def drawn(labelled: DataFrame, text_col: str, label_col: str, id_col: str, sample_rows: int) -> DataFrame:
