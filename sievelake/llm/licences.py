@@ -95,7 +95,7 @@ _GAP[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 def word_hashes(text: str) -> np.ndarray:
     b = A.LOWER[np.frombuffer(text.encode(), np.uint8)]
     ws, we, _ = A.words(b, np.array([0]), np.array([len(b)]), _GAP)
-    return A.Rolling(b).of(ws, we)
+    return A.word_hashes(b, ws, we)
 
 
 class Automaton:
@@ -265,7 +265,7 @@ def _scan(sc: Scanner, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     ws, we, at = A.words(low, starts, ends, _GAP)
     n = np.diff(at)
     rows = np.repeat(np.arange(m), n)
-    h = A.Rolling(low).of(ws, we)
+    h = A.word_hashes(low, ws, we)
     base: list[list[tuple[int, str]]] = [[] for _ in range(m)]
     for phrase, label in sc.phrases:
         k = len(phrase)

@@ -43,7 +43,7 @@ def _sets(col: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     for at, to, buf, starts, ends in A.texts(col):
         low = A.LOWER[buf]
         ws, we, first = A.words(low, starts, ends)
-        h, rows = A.shingles(A.Rolling(low).of(ws, we), first, k)
+        h, rows = A.shingles(A.word_hashes(low, ws, we), first, k)
         yield at, to, *A.distinct(h, rows)
 
 

@@ -51,7 +51,7 @@ def grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     e = np.append(s[1:], len(buf))
     token = cls[s] > 0
     s, e = s[token], e[token]
-    h = A.Rolling(A.LOWER[buf]).of(s, e)
+    h = A.word_hashes(A.LOWER[buf], s, e)
     first = np.append(np.searchsorted(s, starts), len(s))
     n = np.diff(first)
     rows = np.repeat(np.arange(len(n)), n)

@@ -50,7 +50,7 @@ def brute_means(texts, target, raw):
         return [(x,) for x in w] + [("=", "=") if x == y else (x, y) for x, y in zip(w, w[1:], strict=False)]
 
     def bucket(g):
-        h = [int(A.Rolling(np.frombuffer(x.encode(), np.uint8)).of(np.array([0]), np.array([len(x.encode())]))[0]) for x in g]
+        h = [int(A.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))[0]) for x in g]
         if g == ("=", "="):
             return int(quality._SAME >> np.uint64(50))
         if len(h) == 1:
