@@ -14,7 +14,7 @@ both smoothed by SMOOTH texts s in which t stands and e is as frequent as anywhe
 and t discloses e if PMI(e; t) >= IC(e) / ALPHA (of all that e would tell, t
 tells that share). In texts that hold e, such terms are generalised, or removed
 where they tell all of it (PMI >= IC). Entities and terms of any frequency
-count, also those of a single text.
+count, also those of a single text. Terms are words of three letters or more, and numbers.
 """
 
 from __future__ import annotations
@@ -50,7 +50,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+#: Words, and numbers of two digits or more with what joins their groups (dates, amounts, house and file numbers).
+_TERM = re.compile(r"[^\W\d_]{3,}|[0-9]{2,}(?:[-/.:,][0-9]+)*|[0-9](?:[-/.:,][0-9]+)+")
 _LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -175,7 +176,9 @@ def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, s
     copied = cut(copies(docs, text_col))
     n = float(copied.count())
     holds = texts.select("key", F.explode("entities").alias("entity"))
-    n_e = cut(holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
+    # Entities of the same set of texts, which two digests of 64 bits tell, have the same counts with every term: one stands for all of them.
+    sets = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor(F.xxhash64("key")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("s2"))
+    n_e = cut(sets.groupBy("n_e", "s1", "s2").agg(F.min("entity").alias("entity")).select("entity", "n_e"))
     holds = cut(holds.join(broadcast_if_small(n_e, COUNT_ROWS), "entity"))
     most = F.col("most").cast("double")
     # A term of more texts than this can't disclose an entity of `most` texts, even if all of these hold it.
