@@ -4,7 +4,7 @@ Windows of an item's size are laid at every start where the shingles they share
 with it, wherever these stand, could make them similar enough. Each window's
 SimHash (64 bits, shingles weighted by their rarity among the items) is cut
 into RADIUS + 1 blocks; two fingerprints within RADIUS bits agree in one block at
-least, so joining on (size, block, value) finds them all. What lies within the
+least, so joining on (item, block, value) each window with the items it was laid for finds them all. What lies within the
 radius is verified: sum of the smaller over sum of the larger weighted shingle counts.
 """
 
@@ -49,7 +49,7 @@ def _blocks(fp: str) -> str:
 
 
 def _starts(hits: DataFrame, similarity: float, least: float) -> DataFrame:
-    """doc_id, t, k, len, size, start: windows that may be similar enough, from the text positions p whose shingle an item has.
+    """doc_id, t, item_id, k, len, size, start: windows that may be similar enough, from the text positions p whose shingle an item has.
 
     A shingle at p is in the windows that start from p - size + k to p, so what a window shares with the item changes
     only there, and is summed up along the text. Its other shingles weigh `least` each, or more.
@@ -67,7 +67,7 @@ def _starts(hits: DataFrame, similarity: float, least: float) -> DataFrame:
     others = (size - F.col("k") + 1 - F.col("c")) * F.lit(least)
     bound = F.least("shared", "theirs") / (F.greatest("shared", "theirs") + others)
     steps = steps.where((F.col("to") > F.col("at")) & (F.col("c") > 0)).where(bound >= similarity - 1e-6)
-    return steps.select("doc_id", "t", "k", size.alias("len"), "size", F.explode(F.sequence(F.col("at"), F.col("to") - 1)).alias("start"))
+    return steps.select("doc_id", "t", "item_id", "k", size.alias("len"), "size", F.explode(F.sequence(F.col("at"), F.col("to") - 1)).alias("start"))
 
 
 def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -108,7 +108,7 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_c
         hits = hit if hits is None else hits.unionByName(hit)
     laid = cut(_starts(hits.distinct(), similarity, least).distinct())
     # The windows' own shingles, from the texts that have any.
-    by = laid.groupBy("doc_id", "t").agg(F.collect_list(F.struct("k", "len", "size", "start")).alias("x"))
+    by = laid.groupBy("doc_id", "t").agg(F.collect_set(F.struct("k", "len", "size", "start")).alias("x"))
     full = w.join(F.broadcast(by) if laid.limit(SMALL + 1).count() <= SMALL else by, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "w", F.explode("x").alias("x"))
     piece = full.select("doc_id", "t", "x.*", F.expr("slice(w, x.start + 1, x.len)").alias("v"))
     keys = ["doc_id", "t", "k", "size", "start"]
@@ -121,9 +121,11 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_c
     def prints(rows: DataFrame, keys: list[str]) -> DataFrame:
         return _simhash(rows.withColumn("weight", F.col("c") * F.col("weight")), keys)
 
-    mine = prints(counts, keys).select("*", F.posexplode(F.expr(_blocks("fp"))).alias("b", "v"))
+    # A window meets the items that it was laid for, no others.
+    aims = broadcast_if_small(laid.select(*keys, "item_id"), SMALL)
+    mine = prints(counts, keys).join(aims, keys).select("*", F.posexplode(F.expr(_blocks("fp"))).alias("b", "v"))
     other = prints(theirs, ["item_id", "k", "size"]).select("item_id", "k", "size", F.col("fp").alias("ifp"), F.posexplode(F.expr(_blocks("fp"))).alias("b", "v"))
-    near = mine.join(broadcast_if_small(other, SMALL), ["k", "size", "b", "v"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))))
+    near = mine.join(broadcast_if_small(other, SMALL), ["item_id", "k", "size", "b", "v"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))))
     near = near.where(F.col("distance") <= RADIUS).select(*keys, "item_id", "distance").distinct()
 
     total = counts.groupBy(*keys).agg(F.sum(F.col("c") * F.col("weight")).alias("mine"))
