@@ -61,7 +61,7 @@ def resolve_aliases(mapping: DataFrame, max_rounds: int = 20) -> DataFrame:
 
 
 def fixpoint(facts: DataFrame, resolvers: list[tuple[str, str, DataFrame]], max_rounds: int = 5) -> DataFrame:
-    """facts (entity, field, value, round) grown by resolvers (needs, gives, lookup of value to result) until a round adds nothing. A fact once known stays."""
+    """facts (entity, field, value, round) grown by resolvers (needs, gives, lookup of value to result) until a round adds nothing. A fact once known stays. Raises if max_rounds don't suffice."""
     known = cut(facts.withColumn("round", F.lit(0)))
     for n in range(1, max_rounds + 1):
         new = None
@@ -72,4 +72,6 @@ def fixpoint(facts: DataFrame, resolvers: list[tuple[str, str, DataFrame]], max_
         if not new.limit(1).count():
             break
         known = known.unionByName(new)
+    else:
+        raise RuntimeError(f"facts are not settled after {max_rounds} rounds")
     return known
