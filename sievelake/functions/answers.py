@@ -13,7 +13,10 @@ REFETCH = ("redownload", "redl", "refetch", "download again", "ponovo")
 FIELDS = ("artist", "title", "album", "year", "version")
 #: Fixed value: the longest opening, in seconds, that an answer may cut.
 MAX_CUT = 30.0
+#: Links, videos and searches; who a note says is the artist; fields that a note gives.
 URL = r"(?i)https?://\S+"
+NOTE_ARTIST = r"(?iU)\(?\s*([^()]{2,60}?)\s+(?:is|are)\s+the\s+(?:real\s+)?artist\b"
+NOTE_FIELD = r"(?iU)\b(artist|title|album|year)\s*[:=]\s*([^;|)\n]{2,60})"
 VIDEO = r"(?:v=|youtu\.be/|/shorts/|/embed/)([A-Za-z0-9_-]{11})"
 SEARCH = r"(?i)youtube\.com/results\?[^ ]*search_query=([^&\s]+)"
 #: Host with user and port, path and query of a link that may hold spaces.
@@ -65,11 +68,12 @@ def parse_answer(c: Column) -> Column:
 
 
 def note_fields(c: Column) -> Column:
-    """struct(artist, title, album, year) written beside a link: `X is the artist`, else the first `field: value` of each field."""
+    """struct(artist, title, album, year) written beside a link: `X is the artist`, else the first `field: value` of each field. A value goes on to the next ; | ) or line end, for 60 characters at most, and what stands in it names no further field."""
     rest = F.regexp_replace(F.coalesce(c, F.lit("")), URL, " ")
-    who = F.regexp_replace(F.trim(F.regexp_extract(rest, r"(?i)\(?\s*([^()]{2,60}?)\s+(?:is|are)\s+the\s+(?:real\s+)?artist\b", 1)), r"^[ ,.-]+|[ ,.-]+$", "")
-    said = lambda k: F.trim(F.regexp_extract(rest, rf"(?i)\b{k}\s*[:=]\s*([^;|)\n]{{2,60}})", 1))
-    return F.struct(F.coalesce(F.nullif(who, F.lit("")), F.nullif(said("artist"), F.lit(""))).alias("artist"), *[F.nullif(said(k), F.lit("")).alias(k) for k in ("title", "album", "year")])
+    who = F.regexp_replace(F.trim(F.regexp_extract(rest, NOTE_ARTIST, 1)), r"^[ ,.-]+|[ ,.-]+$", "")
+    fields, values = (F.regexp_extract_all(rest, F.lit(NOTE_FIELD), F.lit(i)) for i in (1, 2))
+    said = lambda k: F.nullif(F.trim(F.get(values, F.array_position(F.transform(fields, F.lower), k).cast("int") - 1)), F.lit(""))
+    return F.struct(F.coalesce(F.nullif(who, F.lit("")), said("artist")).alias("artist"), *[said(k).alias(k) for k in ("title", "album", "year")])
 
 
 def link_kind(c: Column) -> Column:

@@ -26,6 +26,10 @@ for _cp in (*range(0xA0, 0x530), *range(0x1E00, 0x2000)):
     if _marks := len(_parts) - len(_base):
         _MARKED.setdefault(_marks, []).append(chr(_cp))
 _MARK = "[\u0300-\u036f]"
+#: Wide forms of ASCII, and letters whose compatibility form is several.
+_FROM += [chr(c) for c in range(0xFF01, 0xFF5F)]
+_TO += [chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)]
+_SEVERAL = {chr(c): f for c in (*range(0x100, 0x250), *range(0xFB00, 0xFB07)) if len(f := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) > 1 and f.isascii()}
 
 #: Letters that have no decomposition, lower case, and what they fold to.
 UNDECOMPOSED = {"đ": "dj", "ð": "d", "ł": "l", "ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "ı": "i", "ħ": "h", "ŧ": "t"}
@@ -39,12 +43,12 @@ CHANNEL = "music|musik|official|officiel|vevo|tv|hd|records?|entertainment|chann
 DECORATION = "official|video|audio|lyrics?|tekst|prevod|spot|hd|hq|4k|1080p|720p|visualizer|mv|full"
 VERSION = r"remix|rmx|cover|parody|mashup|bootleg|flip|edit|acoustic|unplugged|live|instrumental|karaoke|nightcore|sped\s*up|slowed|reverb|vs\.?|refix|rework|mix"
 #: Separators of a credit, the feature credit of a title, titles' bracketed and producer tails.
-CREDIT = r"\s*;\s*|\s+&\s+|\s+[Xx]\s+|\s*,\s*(?=\S)|\s+(?:[Ff]eat\.?|[Ff][Tt]\.?|[Ff]eaturing)\s+|\s+i\s+"
-FEATURE = r"(?i)(?:^|[\s(\[])\s*[(\[]?\s*(?:feat\.?|ft\.?|featuring)\s+([^)\]]+?)\s*[)\]]?\s*$"
+CREDIT = r"(?U)\s*;\s*|\s+&\s+|\s+[Xx]\s+|\s*,\s*(?=\S)|\s+(?:[Ff]eat\.?|[Ff][Tt]\.?|[Ff]eaturing)\s+|\s+i\s+"
+FEATURE = r"(?iU)(?:^|[\s(\[])\s*[(\[]?\s*(?:feat\.?|ft\.?|featuring)\s+([^)\]]+?)\s*[)\]]?\s*$"
 FEATURED_BY = r"(?i)(?:feat\.?|ft\.?|featuring|with)\s+([^()\[\]]+)"
 #: Decorations of a file's stem, and what stands between artist and title.
 STEM_CRUFT = (
-    r"(?i)\s*(?:[(\[]\s*(?:official\s*)?(?:music\s*)?(?:lyrics?|lyric|video|audio|visualizer|hd|hq|4k|full\s*hd|mv|clip|version|remaster(?:ed)?(?:\s*\d{4})?)\s*[^)\]]*[)\]]"
+    r"(?iU)\s*(?:[(\[]\s*(?:official\s*)?(?:music\s*)?(?:lyrics?|lyric|video|audio|visualizer|hd|hq|4k|full\s*hd|mv|clip|version|remaster(?:ed)?(?:\s*\d{4})?)\s*[^)\]]*[)\]]"
     r"|[(\[]\s*(?:official|explicit|clean|uncensored)\s*[^)\]]*[)\]]|\b(?:official\s+video|official\s+audio|lyrics?\s+video|music\s+video)\b|\b(?:tekst|uzivo|u[zž]ivo|spot|prevod)\b|\b(?:hd|hq|4k)\b)"
 )
 STEM_SPLIT = r"\s+[-–—]\s+|\s+[-–—]|[-–—]\s+|\s*：\s*|\s+:\s+"
@@ -75,6 +79,10 @@ SEARCHES = {
 
 def unmarked(c: Column) -> Column:
     """c without accents and combining marks; case and all else stay."""
+    several = c
+    for a, b in _SEVERAL.items():
+        several = F.replace(several, F.lit(a), F.lit(b))
+    c = F.when(c.rlike("[" + "".join(_SEVERAL) + "]"), several).otherwise(c)
     return F.regexp_replace(F.translate(c, "".join(_FROM), "".join(_TO)), _MARK, "")
 
 

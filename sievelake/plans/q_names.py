@@ -134,7 +134,7 @@ def title_cleaners(customer):
     return _raw(customer).select("id", N.escape_query(t).alias("escaped"), N.titlecase(t).alias("cased"), N.clean_artist(F.col("f")).alias("artist"), N.safe_name(t).alias("safe"), N.looks_like_channel(a).alias("channel"), N.is_placeholder(a).alias("placeholder"))
 
 
-_CRUFT = N.STEM_CRUFT.replace("(?i)", "").replace("'", "''")
+_CRUFT = N.STEM_CRUFT.replace("(?iU)", "").replace("'", "''")
 
 
 def _stem_sql(x):
