@@ -9,6 +9,7 @@ from sievelake.functions import text as T
 from sievelake.operators import rank as R
 from sievelake.plans.q_text import sql_norm
 from sievelake.functions.fields import LOCALE_WORDS
+from sievelake.operators import contain as C
 from sievelake.plans.registry import query
 from sievelake.plans.standin import chosen, chosen_sql
 
@@ -44,18 +45,30 @@ def links_and_titles(part):
     return part.select("p_partkey", X.query_link("https://s.example/search/", F.concat_ws(" ", "p_name", F.lower("p_type"))).alias("link"), X.titlecase(F.col("p_name")).alias("title"))
 
 
-@query("part", "customer", sql=f"""WITH k AS (SELECT DISTINCT {sql_norm('p_name')} AS k, string_split({sql_norm('p_name')}, ' ')[1] AS w FROM part UNION SELECT string_split({sql_norm('p_name')}, ' ')[1], string_split({sql_norm('p_name')}, ' ')[1] FROM part),
-t AS (SELECT c_custkey, 'the ' || (SELECT arg_min({sql_norm('p_name')}, p_partkey) FROM part WHERE p_partkey = c_custkey % 50) || CASE WHEN c_custkey % 2 = 0 THEN ' live' ELSE '' END AS name FROM customer)
-SELECT c_custkey, name, arg_max(k, length(k) * 1000 + ascii(k)) AS answer FROM t JOIN k ON contains(name, k) GROUP BY 1, 2""")
+@query("part", "customer", sql=f"""WITH n AS (SELECT p_partkey, {sql_norm('p_name')} AS n FROM part), k AS (SELECT n AS k FROM n UNION SELECT string_split(n, ' ')[1] FROM n UNION SELECT substring(n, 3) FROM n WHERE p_partkey % 7 = 0),
+t AS (SELECT c_custkey, 'the ' || n || CASE WHEN c_custkey % 2 = 0 THEN ' live' ELSE '' END AS name FROM customer JOIN n ON p_partkey = c_custkey)
+SELECT c_custkey, name, max_by(k, (length(k), k)) AS answer FROM t JOIN k ON contains(name, k) WHERE k <> '' GROUP BY 1, 2""")
 def containment_join(part, customer):
-    """The longest known name that a file's name holds; names meet on a word they share."""
+    """The longest known name that a file's name holds, at any place."""
     n = part.select("p_partkey", T.norm(F.col("p_name")).alias("n"))
-    first = F.split("n", " ")[0]
-    k = n.select(F.col("n").alias("k")).unionByName(n.select(first.alias("k"))).distinct().withColumn("w", F.split("k", " ")[0])
-    t = customer.select("c_custkey", (F.col("c_custkey") % 50).alias("p_partkey")).join(F.broadcast(n.where("p_partkey < 50")), "p_partkey").select("c_custkey", F.concat(F.lit("the "), "n", F.when(F.col("c_custkey") % 2 == 0, " live").otherwise("")).alias("name"))
-    w = t.select("c_custkey", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("w"))
-    hit = w.join(F.broadcast(k), "w").where(F.contains("name", "k"))
-    return hit.groupBy("c_custkey", "name").agg(F.max_by("k", F.length("k") * 1000 + F.ascii("k")).alias("answer"))
+    k = n.select(F.col("n").alias("p")).unionByName(n.select(F.split("n", " ")[0].alias("p"))).unionByName(n.where("p_partkey % 7 = 0").select(F.expr("substring(n, 3)").alias("p"))).distinct()
+    t = customer.join(n, F.col("c_custkey") == F.col("p_partkey")).select(F.col("c_custkey").alias("tid"), F.concat(F.lit("the "), "n", F.when(F.col("c_custkey") % 2 == 0, " live").otherwise("")).alias("t"))
+    return C.longest_within(t, k).select(F.col("tid").alias("c_custkey"), F.col("t").alias("name"), "answer")
+
+
+@query("part", "supplier", sql=f"""WITH n AS (SELECT p_partkey AS pid, {sql_norm('p_name')} AS key FROM part WHERE p_partkey % 3 <> 0), o AS (SELECT s_suppkey AS oid, CASE s_suppkey % 3 WHEN 0 THEN 'amazing lyrics ' || {sql_norm('p_name')} WHEN 1 THEN string_split({sql_norm('p_name')}, ' ')[2] ELSE {sql_norm('p_name')} || ' live' END AS key FROM supplier JOIN part ON p_partkey = s_suppkey)
+SELECT oid, arg_min(pid, (-length(n.key), pid)) AS pid FROM o JOIN n ON n.key <> '' AND o.key <> '' AND (contains(o.key, n.key) OR contains(n.key, o.key)) GROUP BY oid""")
+def orphans_adopted(part, supplier):
+    """For each answer whose file is gone the surviving file whose name holds its name or lies in it, the longest."""
+    norm = T.norm(F.col("p_name"))
+    o = supplier.join(part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("oid"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("amazing lyrics "), norm)).when(F.col("s_suppkey") % 3 == 1, F.get(F.split(norm, " "), 1)).otherwise(F.concat(norm, F.lit(" live"))).alias("key"))
+    return C.closest_names(o, part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("pid"), norm.alias("key")))
+
+
+@query("part")
+def similar_names(part):
+    """Names that matching blocks find nearly the same."""
+    return C.similar_texts(part.select(F.concat_ws(" ", "p_name", F.lower("p_brand")).alias("t")), 0.92).pairs
 
 
 @query("lineitem", sql="""WITH c AS (SELECT l_orderkey AS grp, l_linenumber AS path, 'v' || (l_partkey % 40) AS id, l_returnflag AS source FROM lineitem WHERE l_quantity > 40), own AS (SELECT DISTINCT grp, path, id, source FROM c)
