@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import difflib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 _STAMP = r"\[([0-9]+):([0-9]{2})(?:[.:]([0-9]{1,3}))?\]"
 
@@ -21,6 +24,25 @@ def lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
     return s.select(*keys, F.round(sec, 3).alias("sec"), "words")
 
 
+class TimedLines:
+    """Table function: (sec, words) of a sheet, as lines() gives them, in order of its lines."""
+
+    def eval(self, text: str | None) -> Iterator[tuple[float, str]]:
+        for line in (text or "").split("\n"):
+            words = re.sub(_STAMP, "", line).strip(" ")
+            if re.fullmatch(r"[\s♪♫]*", words, re.ASCII):
+                continue
+            for m in re.finditer(_STAMP, line):
+                yield round(int(m[1]) * 60.0 + int(m[2]) + (int(m[3]) / 10.0 ** len(m[3]) if m[3] else 0.0), 3), words
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the functions of this library that SQL lacks callable by name: the table function timed_lines(text), and sheet_shifted(text, seconds) and texts_ratio(a, b)."""
+    spark.udtf.register("timed_lines", udtf(TimedLines, returnType="sec double, words string"))
+    spark.udf.register("sheet_shifted", F.pandas_udf(lambda s, d: pd.Series([shifted(t, x) for t, x in zip(s, d, strict=True)]), "string"))
+    spark.udf.register("texts_ratio", F.pandas_udf(lambda a, b: pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)]), "double"))
+
+
 def shifted(text: str | None, delta: float) -> str | None:
     """The sheet with every stamp moved, never below zero, fractions as wide as before."""
 

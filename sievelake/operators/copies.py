@@ -126,9 +126,13 @@ def shared_openings(rows: DataFrame, min_run: int = MIN_RUN, min_files: int = MI
     at = [round(i * 32 / n) for i in range(n + 1)]
     block = lambda k: F.array(*[F.shiftrightunsigned(F.col("items")[k].bitwiseAND(F.lit(0xFFFFFFFF)), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(at, at[1:], strict=False)])
     r = rows.where(F.size("items") >= min_run)
-    keyed = r.select("path", "items", F.posexplode(block(0)).alias("i", "u"), block(1).alias("v")).select("path", "items", "i", "u", F.posexplode("v").alias("j", "v"))
-    x = keyed.select(F.col("path").alias("a"), F.col("items").alias("ia"), "i", "u", "j", "v")
-    pairs = x.join(keyed.select(F.col("path").alias("b"), F.col("items").alias("ib"), "i", "u", "j", "v"), ["i", "u", "j", "v"]).where("a < b").withColumn("run", shared_run(F.col("ia"), F.col("ib"), bits)).where(F.col("run") >= min_run)
+    # Ids alone are joined; openings are fetched once for each pair that meets.
+    keyed = r.select("path", F.posexplode(block(0)).alias("i", "u"), block(1).alias("v")).select("path", "i", "u", F.posexplode("v").alias("j", "v"))
+    x = keyed.withColumnRenamed("path", "a")
+    met = x.join(keyed.withColumnRenamed("path", "b"), ["i", "u", "j", "v"]).where("a < b").select("a", "b").distinct()
+    it = r.select("path", "items")
+    pairs = met.join(it.select(F.col("path").alias("a"), F.col("items").alias("ia")), "a").join(it.select(F.col("path").alias("b"), F.col("items").alias("ib")), "b")
+    pairs = pairs.withColumn("run", shared_run(F.col("ia"), F.col("ib"), bits)).where(F.col("run") >= min_run)
     pairs = cut(pairs.select("a", "b", "run").distinct())
     comp = connected_components(pairs, "a", "b").select(F.col("id").alias("path"), "component")
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_files)

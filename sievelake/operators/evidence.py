@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.runtime import is_blank
+from sievelake.runtime import broadcast_if_small, is_blank
 
 KEY = ["entity", "field", "source", "query_key"]
 #: Outcome states, and after how many seconds an answer of a state is asked again (none: never).
@@ -129,10 +129,12 @@ def replace_scoped(store: DataFrame, batch: DataFrame, scope: Column, by: str =
 def relocation(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(path, new_path, clash): each path under the longest prefix that ends at a separator; clash if two paths, or an unmoved one, land on it.
 
-    prefixes (old, new) is a small hand-written table and is broadcast.
+    Each path meets prefixes (old, new) on its ancestors and itself, so any number of prefixes will do. Null paths are left out.
     """
-    hit = paths.join(F.broadcast(prefixes), F.col("path").eqNullSafe(F.col("old")) | F.col("path").startswith(F.concat("old", F.lit("/"))), "left")
-    best = hit.groupBy("path").agg(F.max_by(F.struct("old", "new"), F.length("old")).alias("p"))
+    up = F.explode(F.expr("transform(sequence(1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))"))
+    hit = paths.where("path IS NOT NULL").select("path", up.alias("old")).join(broadcast_if_small(prefixes), "old", "left")
+    hit = hit.select("path", F.when(F.col("new").isNotNull(), F.col("old")).alias("old"), "new")
+    best = hit.groupBy("path").agg(F.max_by(F.struct("old", "new"), F.coalesce(F.length("old"), F.lit(-1))).alias("p"))
     moved = best.select("path", F.when(F.col("p.old").isNull(), F.col("path")).otherwise(F.concat("p.new", F.expr("substring(path, length(p.old) + 1)"))).alias("new_path"))
     n = moved.groupBy("new_path").agg(F.count(F.lit(1)).alias("n"))
     return moved.join(n, "new_path").select("path", "new_path", ((F.col("n") > 1)).alias("clash"))

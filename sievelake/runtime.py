@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only below this many rows, counted first.
@@ -49,3 +49,9 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def is_blank(col):
     """No value: null or empty text."""
     return col.isNull() | (col == "")
+
+
+def observed(df: DataFrame, name: str, **counts) -> tuple[DataFrame, Observation]:
+    """df, and the numbers of its rows that meet conditions, counted while the first action on it runs: no pass of their own. Read them with .get afterwards."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counts.items()]), seen

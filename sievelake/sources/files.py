@@ -41,10 +41,44 @@ def latest_answers(frames: list[DataFrame], key: str, note: str = "is_note") ->
     return all_.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(~F.col(note), "_file")).alias("r")).select(key, "r.*")
 
 
-def restrict_list(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
-    """(entry, resolved) of a list's lines, blank ones and # comments left out, against known (key)."""
+def sheets(spark: SparkSession, path: str) -> DataFrame:
+    """All sheets that a path or pattern names, each with its own delimiter, sniffed from its header: their columns by name (missing ones null), and _file and _order, the place of the file in order of paths, for latest_answers()."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    heads = lines.groupBy("file").agg(F.min_by("value", F.struct("at", "id")).alias("head")).orderBy("file").collect()  # a row for each sheet
+    by: dict[str, list[str]] = {}
+    for r in heads:
+        by.setdefault(max("\t,;", key=(r["head"] or "").count), []).append(r["file"])
+    out = None
+    for sep, paths in by.items():
+        for columns in _by_header(heads, set(paths), sep).values():
+            df = spark.read.option("header", True).option("sep", sep).csv(columns)
+            df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns]).withColumn("_file", F.col("_metadata.file_path"))
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], "_file string, _order int")
+    order = F.array_position(F.array(*[F.lit(r["file"]) for r in heads]), F.col("_file")).cast("int")
+    return out.withColumn("_order", order)
+
+
+def _by_header(heads: list, paths: set[str], sep: str) -> dict[tuple, list[str]]:
+    """The files of equal header columns."""
+    out: dict[tuple, list[str]] = {}
+    for r in heads:
+        if r["file"] in paths:
+            out.setdefault(tuple((r["head"] or "").split(sep)), []).append(r["file"])
+    return out
+
+
+def restrict_list(spark: SparkSession, path: str, known: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+    """(entry, resolved, path) of a list's lines, blank ones and # comments left out, against known (key). An entry that is a fingerprint of prints (fingerprint, path) stands for that path."""
     lines = spark.read.text(path).select(F.trim("value").alias("entry")).where("entry <> '' AND NOT startswith(entry, '#')").distinct()
-    return lines.join(known.select(F.col("key").alias("entry"), F.lit(True).alias("k")).distinct(), "entry", "left").select("entry", F.coalesce("k", F.lit(False)).alias("resolved"))
+    if prints is not None:
+        named = prints.where("path IS NOT NULL").groupBy(F.col("fingerprint").alias("entry")).agg(F.max("path").alias("p"))
+        lines = lines.join(named, "entry", "left").select("entry", F.coalesce("p", "entry").alias("path"))
+    else:
+        lines = lines.withColumn("path", F.col("entry"))
+    d = lines.join(known.select(F.col("key").alias("path"), F.lit(True).alias("k")).distinct(), "path", "left")
+    return d.select("entry", F.coalesce("k", F.lit(False)).alias("resolved"), "path")
 
 
 def write_table(df: DataFrame, path: str) -> None:
