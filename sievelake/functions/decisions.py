@@ -278,3 +278,15 @@ def language(detected: Column, sure: Column, text: Column, heard: Column, heard_
     n = F.size(F.array_distinct(F.regexp_extract_all(F.lower(N.blank(transcript)), F.lit(r"[\p{L}\p{N}_]+"), 0)))
     ok = confirmed & (n >= words)
     return F.struct(F.when(good, detected).when(ok, heard).alias("language"), F.when(good, F.round(sure, 2)).when(ok, heard_sure).alias("confidence"))
+
+
+#: The confidence from which an identity is written, and the verdict of lyrics that stands in for it.
+TRUSTED, CONFIRMED = 0.90, "confirmed"
+
+
+def identity_trusted(artist: Column, confidence: Column, verdict: Column, least: float = TRUSTED) -> Column:
+    """struct(trusted, promoted): whether a proposed identity may be written, as somebody is named and the confidence suffices or its lyrics were confirmed, and whether only the lyrics let it through."""
+    ok = F.coalesce(confidence >= least, F.lit(False))
+    sung = F.coalesce(verdict == CONFIRMED, F.lit(False))
+    named = F.coalesce(artist != "", F.lit(False))
+    return F.struct((named & (ok | sung)).alias("trusted"), (named & ~ok & sung).alias("promoted"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.runtime import is_blank
+from sievelake.runtime import broadcast_if_small, is_blank
 
 
 def families(obs: DataFrame, dim: DataFrame) -> DataFrame:
     """obs with column family; a source that the dimension doesn't know is its own family."""
-    return obs.join(F.broadcast(dim), "source", "left").withColumn("family", F.coalesce("family", "source"))
+    return obs.join(broadcast_if_small(dim), "source", "left").withColumn("family", F.coalesce("family", "source"))
 
 
 def agreement(obs: DataFrame) -> DataFrame:

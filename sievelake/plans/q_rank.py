@@ -12,7 +12,7 @@ from sievelake.operators import rank as R
 from sievelake.operators import shelves as S
 from sievelake.plans.q_text import sql_norm
 from sievelake.plans.registry import query
-from sievelake.runtime import cut
+from sievelake.runtime import broadcast_if_small, cut
 
 
 
@@ -140,7 +140,7 @@ def fixpoint_enrichment(customer, nation, region):
 @query("supplier", "nation", sql="""WITH v AS (SELECT s_suppkey % 7 AS artist, n_name AS country, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)
 SELECT CAST(artist AS BIGINT) AS artist, country, n, round(n::DOUBLE / total, 6) AS share FROM (SELECT *, sum(n) OVER (PARTITION BY artist) AS total, row_number() OVER (PARTITION BY artist ORDER BY n DESC, country) AS r FROM v) WHERE r = 1""")
 def origin_vote(supplier, nation):
-    v = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).groupBy((F.col("s_suppkey") % 7).cast("long").alias("artist"), F.col("n_name").alias("country")).agg(F.count(F.lit(1)).alias("n"))
+    v = supplier.join(broadcast_if_small(nation), F.col("s_nationkey") == F.col("n_nationkey")).groupBy((F.col("s_suppkey") % 7).cast("long").alias("artist"), F.col("n_name").alias("country")).agg(F.count(F.lit(1)).alias("n"))
     t = v.groupBy("artist").agg(F.min_by(F.struct("country", "n"), F.struct(-F.col("n"), "country")).alias("x"), F.sum("n").alias("total"))
     return t.select("artist", "x.country", "x.n", F.round(F.col("x.n") / F.col("total"), 6).alias("share"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievelake.functions import timed
 from sievelake.operators import shelves as S
 from sievelake.plans.registry import query
+from sievelake.runtime import broadcast_if_small
 
 
 @query("orders", "lineitem", sql="""WITH y AS (SELECT o_orderkey AS id, CAST(floor(year(o_orderdate) / 10) * 10 AS INT) || 's' AS decade, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 200000 THEN 'mid' ELSE 'high' END AS band, o_orderpriority AS lang FROM orders),
@@ -117,7 +118,7 @@ SELECT p_partkey, CASE WHEN p_size <= 5 THEN 'scene' WHEN p_size BETWEEN 6 AND 9
 def genre_ladder(part):
     """The first rung that knows a genre: scene, the track's own tag, a tag that at least three artists share."""
     shared = part.groupBy("p_type").agg(F.countDistinct("p_brand").alias("df")).where("df >= 3").select("p_type", F.lit(True).alias("ok"))
-    j = part.join(F.broadcast(shared), "p_type", "left")
+    j = part.join(broadcast_if_small(shared), "p_type", "left")
     g = F.when(F.col("p_size") <= 5, "scene").when(F.col("p_size").between(6, 9) & F.contains("p_name", F.lit("bolt")), "track:bolt").when(F.col("ok") & (F.col("p_retailprice") >= 950), F.concat(F.lit("shared:"), F.lower("p_type")))
     return j.select("p_partkey", g.alias("genre"))
 

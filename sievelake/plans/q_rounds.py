@@ -1,11 +1,19 @@
-"""Queries on enrichment in rounds."""
+"""Queries on enrichment in rounds, on the bucketed store, and on what may be written."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from sievelake.functions import decisions as D
+from sievelake.operators import evidence as E
 from sievelake.operators import resolve as R
-from sievelake.plans.registry import query
+from sievelake.operators.bucketed import Store
+from sievelake.plans.q_evidence import observations
+from sievelake.plans.registry import ORACLE_SQL, query
+from sievelake.plans.standin import chosen, chosen_sql
+from sievelake.runtime import cut, shared_dir
 
 _TRIED = """one AS (SELECT o_orderkey AS entity, CAST(c_nationkey AS VARCHAR) AS nation, c_mktsegment AS segment, n_name AS country, CAST(n_regionkey AS VARCHAR) AS region, r_name AS continent FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
 tried AS (SELECT entity, 0 AS seq, 1 AS round, 'by-customer' AS resolver, 'nation' AS field, nation AS value, 'deezer' AS source, true AS accepted, 'accepted' AS why FROM one
@@ -54,3 +62,30 @@ UNION ALL SELECT 'by-pair', count(DISTINCT (c_mktsegment, n_regionkey)), count(D
 def resolver_questions(orders, customer, nation, region):
     """How many questions each resolver was asked over all orders and rounds, and how many it answered."""
     return _resolved(orders, customer, nation, region).memo.groupBy("resolver").agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("records") > 0).alias("answered"))
+
+
+@query("events", sql=ORACLE_SQL["evidence_upsert_latest"])
+def store_upserts(events):
+    """The older half of the events put into a bucketed store, the newer half merged into the buckets it touches."""
+    spark = events.sparkSession
+    st = Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    half = events.agg(F.expr("max(event_id) div 2").alias("h")).first()[0] or 0
+    obs = E.valid(observations(events))
+    order = [F.col("seen_at"), F.col("event_id")]
+    for batch in (obs.where(F.col("event_id") <= half), obs.where(F.col("event_id") > half)):
+        st.upsert(E.latest(batch, order).select(*E.KEY, "state", "value", "seen_at"))
+    out = cut(st.current().select(*E.KEY, "state", "value", "first_seen", "seen_at"))
+    st.files.remove(st.path)
+    return out
+
+
+_WHO, _SUNG = ["A", "", None, "B", "C"], ["confirmed", "refuted", None, "unsure"]
+
+
+@query("orders", sql=f"""WITH o AS (SELECT o_orderkey AS id, {chosen_sql('o_orderkey', _WHO)} AS artist, CASE WHEN o_custkey % 6 <> 0 THEN (o_custkey % 21 + 80) / 100.0 END AS c, {chosen_sql('o_custkey', _SUNG)} AS v FROM orders)
+SELECT id, coalesce(artist <> '', false) AND (coalesce(c >= 0.9, false) OR coalesce(v = 'confirmed', false)) AS trusted, coalesce(artist <> '', false) AND NOT coalesce(c >= 0.9, false) AND coalesce(v = 'confirmed', false) AS promoted FROM o""")
+def identity_gate(orders):
+    """Which identities may be written, and which of them for their lyrics alone."""
+    c = F.when(F.col("o_custkey") % 6 != 0, (F.col("o_custkey") % 21 + 80) / 100.0)
+    t = D.identity_trusted(chosen("o_orderkey", _WHO), c, chosen("o_custkey", _SUNG))
+    return orders.select(F.col("o_orderkey").alias("id"), t.alias("t")).select("id", "t.*")
