@@ -153,6 +153,21 @@ class Store:
         self.files.put(f"{self.path}/manifests/{version:010d}.json", json.dumps(said))
         return version
 
+    def replace(self, rows: DataFrame, touched: list[int]) -> int:
+        """Puts rows in the place of everything in the buckets `touched` and returns the new version; rows of other buckets are left out. Buckets that rows has nothing for become empty."""
+        m = self.manifest()
+        schema = rows.schema
+        version = max([m["version"], *(int(n) for n in self.files.names(f"{self.path}/claims"))]) + 1
+        if not self.files.claim(f"{self.path}/claims/{version:010d}"):
+            raise RuntimeError(f"version {version} of {self.path} is being written by another job")
+        new = rows.withColumn("b", self.bucket()).where(F.col("b").isin(touched)).repartition("b")
+        new.write.mode("overwrite").partitionBy("b").parquet(f"{self.path}/data/v={version}")
+        full = {int(n[2:]) for n in self.files.names(f"{self.path}/data/v={version}") if n.startswith("b=")}
+        rest = {b: v for b, v in m["buckets"].items() if int(b) not in set(touched)}
+        said = {"version": version, "schema": json.dumps(schema.jsonValue()), "buckets": rest | {str(b): version for b in sorted(full)}, "touched": sorted(touched)}
+        self.files.put(f"{self.path}/manifests/{version:010d}.json", json.dumps(said))
+        return version
+
     def vacuum(self, keep: int = 2) -> list[int]:
         """Forgets all but the last `keep` versions and removes the data that only forgotten or failed ones had; returns the versions whose data went."""
         found = self.versions()
