@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sievelake.functions import decisions as D
+from sievelake.operators import desired as W
 from sievelake.operators import evidence as E
 from sievelake.operators import resolve as R
 from sievelake.operators.bucketed import Store
@@ -89,3 +90,34 @@ def identity_gate(orders):
     c = F.when(F.col("o_custkey") % 6 != 0, (F.col("o_custkey") % 21 + 80) / 100.0)
     t = D.identity_trusted(chosen("o_orderkey", _WHO), c, chosen("o_custkey", _SUNG))
     return orders.select(F.col("o_orderkey").alias("id"), t.alias("t")).select("id", "t.*")
+
+
+@query("orders", sql="""WITH o AS (SELECT o_orderkey AS e, o_orderstatus AS s, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS p, o_custkey % 10 AS y FROM orders),
+a AS (SELECT 'e' || e AS entity, 'status' AS field, s AS value FROM o UNION ALL SELECT 'e' || e, 'priority', p FROM o),
+b AS (SELECT 'e' || e AS entity, 'status' AS field, CASE WHEN y = 0 AND e % 5 = 0 THEN NULL ELSE s END AS value FROM o WHERE NOT (y = 0 AND e % 5 = 1) UNION ALL SELECT 'e' || e, 'priority', CASE WHEN y = 0 AND e % 5 = 2 THEN 'none' ELSE p END FROM o)
+SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.field, b.field) AS field, CASE WHEN b.entity IS NULL THEN 'released' WHEN b.value IS NULL THEN 'deleted' WHEN a.value IS NULL THEN 'set' ELSE 'changed' END AS action, a.value AS old, b.value AS new
+FROM a FULL OUTER JOIN b ON a.entity = b.entity AND a.field = b.field WHERE (b.entity IS NULL OR a.entity IS NULL OR a.value IS DISTINCT FROM b.value)""")
+def outputs_changed(orders):
+    """What a run has to write when the wanted outputs of some orders have moved; buckets that haven't are not read."""
+    spark = orders.sparkSession
+    e, y = F.col("o_orderkey"), F.col("o_custkey") % 10 == 0
+    out = W.Outputs(spark, f"{shared_dir(spark).rstrip('/')}/outputs-{uuid.uuid4().hex}")
+    rows = lambda field, value: F.struct(F.concat(F.lit("e"), e).alias("entity"), F.lit(field).alias("field"), value.alias("value"))
+    priority = F.when(e % 7 != 0, F.col("o_orderpriority"))
+    all_ = lambda status, pr: orders.select(F.inline(F.array_compact(F.array(status, pr))))
+    out.apply(all_(rows("status", F.col("o_orderstatus")), rows("priority", priority)))
+    changed = cut(out.apply(all_(F.when(~(y & (e % 5 == 1)), rows("status", F.when(~(y & (e % 5 == 0)), F.col("o_orderstatus")))), rows("priority", F.when(y & (e % 5 == 2), "none").otherwise(priority)))))
+    out.store.files.remove(out.path)
+    return changed
+
+
+@query("part", sql="""WITH p AS (SELECT p_partkey AS path, p_partkey % 3 AS d, p_brand AS a, p_name AS t, CAST(p_size AS VARCHAR) AS s FROM part)
+SELECT path, 'artist' AS field, a AS value FROM p UNION ALL SELECT path, 'title', t FROM p UNION ALL SELECT path, CASE d WHEN 1 THEN 'x:STAMP' ELSE 'x:stamp' END, s FROM p
+UNION ALL SELECT path, 'x:ARTIST', a FROM p WHERE d = 1 UNION ALL SELECT path, 'x:TITLE', t FROM p WHERE d = 1 UNION ALL SELECT path, 'x:©ART', a FROM p WHERE d = 2 UNION ALL SELECT path, 'x:©NAM', t FROM p WHERE d = 2""")
+def tags_of_dialects(part):
+    """Tags of three dialects under common names."""
+    d = F.col("p_partkey") % 3
+    of = lambda a, b, c: F.when(d == 0, a).when(d == 1, b).otherwise(c)
+    tag = lambda seq, key, value: F.struct(F.lit(seq).alias("seq"), key.alias("key"), F.when(key == "TXXX", "stamp").alias("name"), value.cast("string").alias("value"))
+    raw = part.select(F.col("p_partkey").alias("path"), of("id3", "vorbis", "mp4").alias("dialect"), F.inline(F.array(tag(0, of("TPE1", "ARTIST", "©ART"), F.col("p_brand")), tag(1, of("TIT2", "Title", "©nam"), F.col("p_name")), tag(2, of("TXXX", "stamp", W.OWN + "stamp"), F.col("p_size")))))
+    return W.tags_of(raw)
