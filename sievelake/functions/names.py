@@ -326,14 +326,19 @@ def safe_name(c: Column, fallback: str = "Unknown") -> Column:
     return F.when(c == "", fallback).otherwise(c)
 
 
+#: What marks a channel's name, and names that stand for no artist.
+CHANNEL_LIKE = r"(?i)\blyrics?\b|\bvevo\b|\btopic\b|\bkanal\b|\brealmusic\b|\bofficial\s+channel\b|\btv\+|\.tv\b|\.com\b"
+PLACEHOLDER = r"(?i)^(various(\s+artists)?|unknown(\s+artist)?|artist|va|no\s*artist|untitled|n/?a|none|default|track|audio|music)$"
+
+
 def looks_like_channel(c: Column, known: tuple[str, ...] = ()) -> Column:
     """Whether a name is that of an uploader's channel."""
-    return blank(c).rlike(r"(?i)\blyrics?\b|\bvevo\b|\btopic\b|\bkanal\b|\brealmusic\b|\bofficial\s+channel\b|\btv\+|\.tv\b|\.com\b") | F.lower(F.trim(blank(c))).isin(*known, "\0")
+    return blank(c).rlike(CHANNEL_LIKE) | F.lower(F.trim(blank(c))).isin(*known, "\0")
 
 
 def is_placeholder(c: Column) -> Column:
     """Whether a name stands for no artist."""
-    return F.trim(blank(c)).rlike(r"(?i)^(various(\s+artists)?|unknown(\s+artist)?|artist|va|no\s*artist|untitled|n/?a|none|default|track|audio|music)$")
+    return F.trim(blank(c)).rlike(PLACEHOLDER)
 
 
 def seed(file_artist: Column, file_title: Column, tag_artist: Column, tag_title: Column, video: Column, trust: Column) -> tuple[Column, Column, Column]:

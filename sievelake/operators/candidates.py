@@ -129,6 +129,7 @@ def judged(c: dict[str, Column]) -> tuple[Column, Column]:
     web = F.coalesce(c["source"].startswith("web:") & F.contains(c["source"], F.lit("+")), F.lit(False))
     two = lambda x: F.format_string("%.2f", x)
     no_artist = N.blank(c["parsed_artist"]) == ""
+    # Factors, bounds and texts of the reasons.
     rules = [
         (no_artist, 0.85, F.lit("filename has no artist to corroborate")),
         (~no_artist & (c["artist_similarity"] < 0.5), 0.55, F.concat(F.lit("artist mismatch vs filename (similarity "), two(c["artist_similarity"]), F.lit(")"))),
