@@ -21,6 +21,13 @@ def gain(level: Column, peak: Column) -> Column:
     return F.when(level.isNull(), None).otherwise(F.least(F.lit(TARGET) - level, F.when(peak > 0, F.lit(CEILING) - 20 * F.log10(peak)).otherwise(F.lit(999.0))))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits as C rounds a double: times ten to the digits, halves away from zero, divided again. Spark's round() goes by the decimal form, so that 0.39135, a little less than it reads, becomes 0.3914."""
+    y = F.abs(x * 10.0**digits)
+    whole = F.floor(y)
+    return F.signum(x) * (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+
+
 def octave(low: Column, floor: float = 65.0) -> Column:
     """The smallest doubling of a tempo that isn't under the floor."""
     return F.round(low * F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.lit(floor) / low)).cast("double"))), 1)

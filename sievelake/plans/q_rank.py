@@ -45,7 +45,7 @@ def precedence_merge_tier(orders, customer, labels):
     fp, txt = F.when(F.col("o_orderstatus") == "F", F.col("c_name")), F.when(F.col("o_orderpriority").like("1%"), F.col("c_mktsegment"))
     guess = F.when(F.col("o_orderstatus") != "F", F.concat("c_mktsegment", F.lit("?")))
     source = F.when(fp.isNotNull(), "fingerprint").when(txt.isNotNull(), "text").when(guess.isNotNull(), "filename")
-    conf = F.round(F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 400000), 4) * F.when(F.col("c_acctbal") < 0, 0.85).otherwise(1.0) * F.when(fp.isNull() & txt.isNull(), 0.9).otherwise(1.0), 8)
+    conf = M.rounded(M.rounded(F.least(F.lit(1.0), F.col("o_totalprice") / 400000), 4) * F.when(F.col("c_acctbal") < 0, 0.85).otherwise(1.0) * F.when(fp.isNull() & txt.isNull(), 0.9).otherwise(1.0), 8)
     s = j.select(F.col("o_orderkey").alias("id"), F.coalesce(fp, txt, guess).alias("proposal"), source.alias("source"), "quality", conf.alias("confidence"))
     tier = F.when(F.col("quality") == 0, "hinted").when(F.col("proposal").isNull(), "unmatched").when(F.col("confidence") >= 0.90, "auto").when(F.col("confidence") >= 0.55, "review").otherwise("suspect")
     return s.select("id", "proposal", "source", "confidence", tier.alias("tier"))

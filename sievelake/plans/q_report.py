@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sievelake.functions import timed
+from sievelake.functions import measures, timed
 from sievelake.operators import shelves as S
 from sievelake.plans.registry import query
 from sievelake.runtime import broadcast_if_small
@@ -34,7 +34,7 @@ SELECT sheet, id, confidence, row_number() OVER (PARTITION BY sheet ORDER BY con
 def review_sheets(orders, labels):
     """Rows for review by sheet, numbered from 1, worst first."""
     sheet = F.when(F.col("quality") == 0, "confirm").when(F.col("o_orderstatus") == "P", "unknown").when(F.col("o_totalprice") / 400000 >= 0.9, None).otherwise("verify")
-    t = orders.join(labels, orders.o_orderkey == labels.doc_id, "left").select(F.col("o_orderkey").alias("id"), F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 400000), 4).alias("confidence"), sheet.alias("sheet")).where("sheet IS NOT NULL")
+    t = orders.join(labels, orders.o_orderkey == labels.doc_id, "left").select(F.col("o_orderkey").alias("id"), measures.rounded(F.least(F.lit(1.0), F.col("o_totalprice") / 400000), 4).alias("confidence"), sheet.alias("sheet")).where("sheet IS NOT NULL")
     return S.numbered(t, ["sheet"], [F.col("confidence"), F.col("id")]).select("sheet", "id", "confidence", "rank")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sievelake.functions import fields
+from sievelake.functions import fields, measures
 from sievelake.operators import copies
 
 
@@ -11,6 +11,15 @@ def test_words_end_at_letters_beyond_ascii(spark):
     assert [r.x for r in d.select(fields.in_cohort(F.col("c")).alias("x")).collect()] == [True, True, False, False, True]
 
 
+def test_halves_as_doubles_have_them(spark):
+    xs = [0.39135, 0.46875, -0.46875, 0.0, 1.0, 0.39145, 156540.0 / 400000]
+    d = spark.createDataFrame([(x,) for x in xs], "x double").select(measures.rounded(F.col("x"), 4).alias("y"), measures.rounded(F.lit(None).cast("double"), 4).alias("n"))
+    want = [(lambda y: (int(abs(y)) + (abs(y) - int(abs(y)) >= 0.5)) * (1 if y >= 0 else -1) / 1e4)(x * 1e4) for x in xs]
+    got = d.collect()
+    assert [r.y for r in got] == want and all(r.n is None for r in got)
+    assert want[0] == 0.3913 or 0.39135 * 1e4 >= 3913.5
+
+
 def test_durations_about_the_knee_meet(spark):
     pairs = [(139.0, 151.0), (138.5, 150.4), (150.0, 163.0), (149.9, 161.9), (138.0, 150.0), (12.0, 24.0), (0.5, 12.5), (300.0, 276.0)]
     d = spark.createDataFrame(pairs, "x double, y double").where(F.abs(F.col("x") - F.col("y")) <= F.greatest(F.lit(12.0), 0.08 * F.greatest("x", "y")))
