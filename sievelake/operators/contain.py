@@ -47,9 +47,13 @@ def longest_within(texts: DataFrame, names: DataFrame) -> DataFrame:
 
 def closest_names(orphans: DataFrame, present: DataFrame) -> DataFrame:
     """(oid, pid): for each orphan (oid, key) the present name (pid, key) that holds it or that it holds, the longest, of equal lengths the smallest pid."""
-    within = containing_pairs(present.select("pid", F.col("key").alias("p")), orphans.select(F.col("oid").alias("tid"), F.col("key").alias("t"))).select(F.col("tid").alias("oid"), "pid", F.length("p").alias("n"))
-    around = containing_pairs(orphans.select(F.col("oid").alias("pid"), F.col("key").alias("p")), present.select(F.col("pid").alias("tid"), F.col("key").alias("t"))).select(F.col("pid").alias("oid"), F.col("tid").alias("pid"), F.length("t").alias("n"))
-    return within.unionByName(around).groupBy("oid").agg(F.min_by("pid", F.struct(-F.col("n"), F.col("pid"))).alias("pid"))
+    # Names are compared once each, whoever bears them: of present ones the smallest pid counts, and orphans of one name have one answer.
+    names = cut(present.where("length(key) > 0").groupBy("key").agg(F.min("pid").alias("pid")))
+    asked = cut(orphans.where("length(key) > 0").select("key").distinct())
+    within = containing_pairs(names.select("pid", F.col("key").alias("p")), asked.select(F.col("key").alias("tid"), F.col("key").alias("t"))).select(F.col("t").alias("key"), "pid", F.length("p").alias("n"))
+    around = containing_pairs(asked.select(F.col("key").alias("pid"), F.col("key").alias("p")), names.select(F.col("pid").alias("tid"), F.col("key").alias("t"))).select(F.col("p").alias("key"), F.col("tid").alias("pid"), F.length("t").alias("n"))
+    best = within.unionByName(around).groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), "pid")).alias("x"))
+    return orphans.select("oid", "key").join(best, "key").groupBy("oid").agg(F.min("x").alias("x")).select("oid", "x.pid")
 
 
 @dataclass

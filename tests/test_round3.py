@@ -67,3 +67,15 @@ def test_openings_in_blocks_are_all_pairs(spark):
     want = sorted((min(p, q), max(p, q)) for i, (p, x) in enumerate(rows[:-1]) for q, y in rows[i + 1 : -1] if far(x, y) <= 6)
     for block in (1000, 7):
         assert sorted(tuple(r) for r in copies._met_openings(d, 6, block).collect()) == want
+
+
+def test_names_borne_by_many_meet_once(spark, monkeypatch):
+    from sievelake.operators import contain
+
+    seen, pairs = [], contain.containing_pairs
+    monkeypatch.setattr(contain, "containing_pairs", lambda p, t: (lambda got: seen.append(got.count()) or got)(pairs(p, t)))
+    orphans = spark.createDataFrame([(k, ("amazing red ring", "ring", "none")[k % 3]) for k in range(30)] + [(99, None)], "oid long, key string")
+    present = spark.createDataFrame([(100 - k, ("red ring", "ring")[k % 2]) for k in range(40)], "pid long, key string")
+    got = {tuple(r) for r in contain.closest_names(orphans, present).collect()}
+    assert got == {(k, 62) for k in range(30) if k % 3 < 2}
+    assert sum(seen) <= 6
