@@ -155,8 +155,7 @@ CASE WHEN (coalesce(a, '') = '' AND coalesce(t, '') = '') OR id % 4 <> 0 THEN 'f
 FROM (SELECT *, trim(coalesce(a, '') || ' ' || coalesce(t, '')) AS base FROM fk)""")
 def file_names_and_seeds(customer):
     """Artist and title of a file's name, song and file keys, and the seed chosen between name and tags."""
-    fa, ft = N.split_stem(F.regexp_replace("f", r"(?<=.)\.[^.]*$", ""))
-    d = _raw(customer).withColumns({"fa": fa, "ft": ft})
+    d = _raw(customer).withColumn("n", N.split_name(F.regexp_replace("f", r"(?<=.)\.[^.]*$", ""))).withColumns({"fa": F.col("n.artist"), "ft": F.col("n.title")})
     artist, title, trust = N.seed(F.col("fa"), F.col("ft"), F.col("a"), F.col("t"), F.when(F.col("id") % 4 == 0, "vid"), F.when(F.col("id") % 8 == 0, "weak"))
     return d.select("id", "fa", "ft", N.song_key(F.col("a"), F.col("t"), F.col("f")).alias("song_key"), N.file_key(F.col("f")).alias("file_key"), artist.alias("seed_artist"), title.alias("seed_title"), trust.alias("trust"))
 
@@ -165,8 +164,7 @@ def file_names_and_seeds(customer):
 SELECT id, CASE WHEN a <> '' AND t <> '' THEN lead END AS lead, CASE WHEN a <> '' AND t <> '' THEN plain END AS title, CASE WHEN a <> '' AND t <> '' THEN array_to_string(feats, '|') ELSE '' END AS feats FROM c4""")
 def filename_guess(customer):
     """Lead, title and featured names guessed from a file's name."""
-    lead, title, feats = N.guess(F.col("f"))
-    return _raw(customer).select("id", lead.alias("lead"), title.alias("title"), F.array_join(feats, "|").alias("feats"))
+    return _raw(customer).select("id", N.guessed(F.col("f")).alias("g")).select("id", "g.lead", "g.title", F.array_join("g.feats", "|").alias("feats"))
 
 
 _WORDS = "trim(regexp_replace(replace(concat_ws(' ', nullif(a, ''), nullif(t, '')), '/', ' '), '\\s+', ' ', 'g'))"
