@@ -1,10 +1,12 @@
 """Enrichment in rounds: resolvers that need facts of an entity and give others, asked until nothing is new.
 
-An entity is one row with its facts as a map, so no round shuffles by entity. A
-round takes only the entities that the round before changed (nothing can be new
-for the others), and takes the resolvers in order, each seeing what those before
-it gave. A resolver is asked each question once, whatever the number of entities
-and rounds that have it; its answers are kept in a memo. Every offer is kept, accepted or not.
+What becomes of an entity depends on its facts alone, so entities of equal seeds
+are resolved as one: the rounds run over distinct sets of facts, each one row with its
+facts as a map, and the entities meet their set again at the end. A round takes only the
+sets that the round before changed (nothing can be new for the others), and takes the
+resolvers in order, each seeing what those before it gave. A resolver is asked each
+question once, whatever the number of entities and rounds that have it; its answers are
+kept in a memo. Every offer is kept, accepted or not.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ _LOG = "array<struct<round:int,resolver:string,field:string,value:string,source:
 _STATE = f"struct<facts:{_FACTS},log:{_LOG},changed:boolean>"
 OFFER = "array<struct<field:string,value:string,source:string>>"
 Get = Callable[[str], Column]
+#: Ends carry their logs, so fewer of them than of plain keys are broadcast.
+ENDS = 20_000
 
 
 @dataclass(frozen=True)
@@ -82,6 +86,13 @@ def _ready(r: Resolver) -> Column:
     return known & missing & ~F.array_contains("fired", F.concat(F.lit(r.name + " "), _question([_get(f) for f in r.needs])))
 
 
+def _wanted(active: DataFrame, resolvers: list[Resolver]) -> tuple[dict[str, bool], dict[str, bool], bool]:
+    """Of each resolver whether any set has a question for it, and whether any changed set has; whether any set has changed. One pass."""
+    seen = active.agg(F.max("changed"), *[F.max(_ready(r)) for r in resolvers], *[F.max(_ready(r) & F.col("changed")) for r in resolvers]).first()
+    names, flags = [r.name for r in resolvers], list(map(bool, seen))
+    return dict(zip(names, flags[1 : len(names) + 1], strict=True)), dict(zip(names, flags[len(names) + 1 :], strict=True)), flags[0]
+
+
 def _taken(offers: Column, n: int, name: str, trust: dict[str, int]) -> Column:
     """The state after an array of offers: one is accepted if the field has no value, or if its source is believed more than the value's and says another."""
 
@@ -105,17 +116,22 @@ def resolve(seeds: DataFrame, resolvers: list[Resolver], trust: dict[str, int] =
     entity leaves the rounds when one changes nothing for it. Entities without a usable fact, and an empty table, give no rows.
     """
     facts = seeds.where(~is_blank(F.col("value")) & F.col("field").isNotNull()).groupBy("entity", "field").agg(F.min("value").alias("value"))
-    facts = facts.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value", F.lit("seed").alias("source"))))).cast(_FACTS).alias("facts"))
-    active = cut(facts.select("entity", "facts", F.array().cast("array<string>").alias("fired"), F.array().cast(_LOG).alias("log"), F.lit(False).alias("changed")))
+    held = facts.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("field", "value"))).alias("seed"))
+    held = cut(held.withColumn("mark", F.xxhash64("seed")))
+    sets = held.select("mark", "seed").distinct()
+    known = F.map_from_entries(F.transform("seed", lambda x: F.struct(x["field"], F.struct(x["value"].alias("value"), F.lit("seed").alias("source"))))).cast(_FACTS)
+    active = cut(sets.select("mark", "seed", known.alias("facts"), F.array().cast("array<string>").alias("fired"), F.array().cast(_LOG).alias("log"), F.lit(True).alias("changed")))
+    _, wanted, _ = _wanted(active, resolvers)
     memo: dict[str, DataFrame] = {}
     kept = None
     for n in range(1, rounds + 1):
-        active = active.withColumn("changed", F.lit(False))
+        active = active.where("changed").withColumn("changed", F.lit(False))
+        after, changed = {}, False
         for r in resolvers:
+            if not wanted[r.name]:
+                continue
             ready = F.coalesce(_ready(r), F.lit(False))
             asked = active.where(ready)
-            if not asked.limit(1).count():
-                continue
             new = asked.select(*[_get(f).alias(f) for f in r.needs]).distinct().withColumn("question", _question([F.col(f) for f in r.needs]))
             if r.name in memo:
                 new = new.join(broadcast_if_small(memo[r.name].select("question")), "question", "left_anti")
@@ -125,20 +141,23 @@ def resolve(seeds: DataFrame, resolvers: list[Resolver], trust: dict[str, int] =
             got = got.groupBy(_question([F.col(f) for f in r.needs]).alias("question")).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "record"))), lambda x: x["record"]).alias("records"))
             answered = cut(new.select("question").join(got, "question", "left"))
             memo[r.name] = answered if r.name not in memo else memo[r.name].unionByName(answered)
-            question = _question([_get(f) for f in r.needs])
-            told = asked.withColumn("question", question).join(broadcast_if_small(memo[r.name]), "question")
-            told = told.withColumn("s", _taken(r.offers(_get, F.coalesce("records", F.array())), n, r.name, trust))
-            told = told.select("entity", "s.facts", F.concat("fired", F.array(F.concat(F.lit(r.name + " "), "question"))).alias("fired"), "s.log", "s.changed")
-            active = cut(active.where(~ready).unionByName(told))
+            # Sets that ask nothing keep their place beside the others, under keys that spread and are no question: a union would add to the partitions with each answer.
+            told = active.withColumn("ready", ready).withColumn("question", F.when(F.col("ready"), _question([_get(f) for f in r.needs])).otherwise(F.col("mark").cast("string")))
+            told = told.join(broadcast_if_small(memo[r.name]), "question", "left")
+            s = F.when(F.col("ready"), _taken(r.offers(_get, F.coalesce("records", F.array())), n, r.name, trust)).otherwise(F.struct("facts", "log", "changed").cast(_STATE))
+            fired = F.when(F.col("ready"), F.concat("fired", F.array(F.concat(F.lit(r.name + " "), "question")))).otherwise(F.col("fired"))
+            active = cut(told.withColumn("s", s).select("mark", "seed", "s.facts", fired.alias("fired"), "s.log", "s.changed"))
+            wanted, after, changed = _wanted(active, resolvers)
         out = active.where(~F.col("changed") | F.lit(n == rounds)).withColumn("rounds", F.lit(n))
         kept = out if kept is None else kept.unionByName(out)
-        active = active.where("changed")
-        if n == rounds or not active.limit(1).count():
+        if not changed:
             break
+        wanted = after
     open_ = F.lit(False)
     for r in resolvers:
         open_ |= F.coalesce(_ready(r), F.lit(False))
-    rows = kept.select("entity", "facts", "log", "rounds", (~open_).alias("settled"))
+    ends = kept.select("mark", "seed", "facts", "log", "rounds", (~open_).alias("settled"))
+    rows = held.join(broadcast_if_small(ends, ENDS), ["mark", "seed"]).select("entity", "facts", "log", "rounds", "settled")
     asked = None
     for name, m in memo.items():
         one = m.select(F.lit(name).alias("resolver"), "question", F.coalesce(F.size("records"), F.lit(0)).alias("records"))

@@ -102,6 +102,21 @@ def test_rounds_read_what_changed(spark):
     assert got.unsettled().count() == 0 and {r.rounds for r in got.rows.collect()} == {1, 2}
 
 
+def test_entities_of_equal_facts_are_resolved_as_one(spark, monkeypatch):
+    """The rounds' rows are distinct sets of facts and their partitions don't add up, whether answers are broadcast or shuffled; every entity gets its own rows."""
+    seen, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: (lambda out: seen.append((out.count(), out.rdd.getNumPartitions())) or out if "fired" in out.columns else out)(cut(df)))
+    spec = [(f"r{k}", (f"f{k}",), (f"f{k + 1}",), {("a",): [(f"f{k + 1}", "a", "deezer")], ("b",): [(f"f{k + 1}", "b", "deezer")]}) for k in range(4)]
+    rows = [(e, "f0", "abc"[e % 3]) for e in range(300)] + [(e, "x", "y") for e in range(0, 300, 2)]
+    want = sorted((e, k, 1, f"r{k}", f"f{k + 1}", "ab"[e % 3], "deezer", True, "accepted") for e in range(300) if e % 3 < 2 for k in range(4))
+    for small in (R.broadcast_if_small, lambda df, rows=0: df):
+        monkeypatch.setattr(R, "broadcast_if_small", small)
+        seen.clear()
+        got = R.resolve(spark.createDataFrame(rows, "entity long, field string, value string"), made(spark, spec))
+        assert sorted(tuple(r) for r in got.attempts().collect()) == want
+        assert [n for n, _ in seen] == [6] * 5 and max(p for _, p in seen) <= 8
+
+
 def test_empty_and_blank(spark):
     spec = made(spark, [("r", ("a",), ("b",), {("1",): [("b", "2", "deezer")]})])
     schema = "entity long, field string, value string"
