@@ -108,6 +108,18 @@ def test_repeats(spark, shard_bytes):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_query_gives_the_text_that_is_left(spark):
+    got = queries.op1_repeats(spark, DATA)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = got.collect()
+    assert len(rows) == len(texts) and any(r.n_removed for r in rows)
+    for r in rows:
+        assert r.n_removed or r.text == texts[r.doc_id]
+        if "\ufffd" not in r.text:
+            assert len(r.text.encode()) == r.n_bytes - r.n_removed and hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
+
+
 def test_interleave_is_the_sorted_order():
     rng = np.random.default_rng(1)
     runs = [np.unique(rng.integers(0, 9, (n, 2)).astype(np.uint64), axis=0) for n in (5, 0, 30, 12)]
