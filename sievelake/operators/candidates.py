@@ -95,8 +95,9 @@ def corroborate(asked: DataFrame, answers: DataFrame) -> DataFrame:
     sources said at the stages direct, cleaned and title. A stage counts only
     where the earlier ones gave nothing; a third source, itunes, only where fewer than two
     of the others hit. Of a source's answers that confirm artist and title the best fit
-    counts, the nearest duration breaking ties; at stage title the first whose title fits and
-    that has the artist anywhere. Hits of another version are dropped, and the grade
+    counts, the nearest duration breaking ties, then the least pos; at stage title the first
+    whose title fits and that has the artist anywhere. Answers that tie in all of it are told
+    apart by their names, so that every run takes the same. Hits of another version are dropped, and the grade
     counts what is left.
     """
     a = answers.join(asked.select("track", F.col("artist").alias("wa"), F.col("title").alias("wt"), F.col("duration").alias("wd")), "track")
@@ -105,7 +106,7 @@ def corroborate(asked: DataFrame, answers: DataFrame) -> DataFrame:
     far = F.when((F.col("wd") > 0) & (F.col("duration") > 0), F.abs(F.col("wd") - F.col("duration"))).otherwise(999.0)
     titled = F.col("stage") == "title"
     ok = ~F.col("failed") & F.when(titled, (ft >= 0.8) & anywhere).otherwise((fa >= 0.6) & (ft >= 0.6))
-    rank = F.struct(F.when(titled, 0.0).otherwise(fa + ft).alias("f"), F.when(titled, 0.0).otherwise(-far).alias("d"), (-F.col("pos")).alias("p"))
+    rank = F.struct(F.when(titled, 0.0).otherwise(fa + ft).alias("f"), F.when(titled, 0.0).otherwise(-far).alias("d"), (-F.col("pos")).alias("p"), "artist", "title")
     stage = mapped(F.col("stage"), {"direct": 0, "cleaned": 1, "title": 2}, 3)
     hits = a.where(ok).groupBy("track", stage.alias("s"), "source").agg(F.max_by(F.struct("artist", "title", "wt"), rank).alias("h"))
     per = hits.groupBy("track", "s").agg(F.sort_array(F.collect_list(F.struct("source", "h"))).alias("hs"))

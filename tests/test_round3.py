@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sievelake.functions import fields, measures
-from sievelake.operators import copies
+from sievelake.operators import candidates, copies
 
 
 def test_words_end_at_letters_beyond_ascii(spark):
@@ -79,3 +79,11 @@ def test_names_borne_by_many_meet_once(spark, monkeypatch):
     got = {tuple(r) for r in contain.closest_names(orphans, present).collect()}
     assert got == {(k, 62) for k in range(30) if k % 3 < 2}
     assert sum(seen) <= 6
+
+
+def test_answers_that_tie_are_told_apart_in_any_order(spark):
+    asked = spark.createDataFrame([(1, "Ana", "Zora", 100.0)], "track long, artist string, title string, duration double")
+    rows = [(1, "direct", "deezer", 1, a, t, 100.0, False) for a, t in (("Ana Iva", "Zora"), ("Ana Zed", "Zora"), ("Ana Bob", "Zora"))]
+    kind = "track long, stage string, source string, pos int, artist string, title string, duration double, failed boolean"
+    got = [tuple(candidates.corroborate(asked, spark.createDataFrame(x, kind).coalesce(1)).collect()) for x in (rows, rows[::-1], rows[1:] + rows[:1])]
+    assert got[0] == got[1] == got[2] and got[0][0].artist == "Ana Zed"
