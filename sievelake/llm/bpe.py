@@ -3,8 +3,10 @@
 Tier one: a minimal perfect hash over the vocabulary resolves whole pre-tokens
 that are entries already. Tier two: other pre-tokens are merged with a heap of
 candidate pairs over a linked list of byte pieces, always the pair of lowest
-rank and, among equals, the leftmost. A task keeps what it has resolved in a
-table of at most CACHE pre-tokens.
+rank and, among equals, the leftmost. A task keeps what it has resolved in
+tables of CACHE pre-tokens and spans between spaces, and of as many older ones:
+no match of the pattern goes on over a space that follows another character than
+white space, so a span is matched, encoded and decoded by itself, once.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.arrays import rested, tune
 
-#: Pre-tokens that a task remembers; when full it starts anew.
+#: Pre-tokens, and spans between spaces, of a table; when full it becomes the older one, from which what is asked for again is taken over.
 CACHE = 250_000
+#: Patterns of which no match has white space after another character, so that texts may be cut there; texts of others are matched whole.
+CUTTABLE = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
 
 class PerfectHash:
@@ -87,6 +91,42 @@ def hash_long(key: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little")
 
 
+class Uncut(Exception):
+    """Two white-space characters in a row: the text can't be cut at its single spaces."""
+
+
+class Spans(dict):
+    """Ids, as text, of spans with `before` in front of each, worked out when first asked for; back has the bytes that the ids decode to."""
+
+    def __init__(self, codec: Codec, before: str):
+        self.codec, self.before, self.back, self.long = codec, before, {}, []
+        self.older: tuple[dict[str, str], dict[str, bytes]] = {}, {}
+
+    def __missing__(self, span: str) -> str:
+        if self.before and (not span or span[-1].isspace()):
+            raise Uncut
+        got = self.older[0].get(span)
+        if got is not None:
+            self[span], self.back[span] = got, self.older[1][span]
+            return got
+        c, said = self.codec, self.before + span
+        self[span] = got = c.known(said) if span.isascii() and span.isalpha() else " ".join(map(c.known, c.findall(said)))
+        self.back[span] = b"".join(map(c.bytes_of.__getitem__, got.split(" ")))
+        if len(span) > 64:
+            self.long.append(span)
+        return got
+
+    def trim(self) -> None:
+        """Forget long spans and, when full, those not asked for since it last was."""
+        for span in self.long:
+            self.pop(span, None)
+            self.back.pop(span, None)
+        self.long.clear()
+        if len(self) > CACHE:
+            self.older, self.back = (dict(self), self.back), {}
+            self.clear()
+
+
 class Codec:
     """Encoder and decoder for a vocabulary of ranks, one base64 token and its rank a line."""
 
@@ -97,61 +137,70 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.findall = regex.compile(pattern).findall
         self.finditer = regex.compile(pattern).finditer
-        self.hash = PerfectHash(list(ranks))
-        self.rank_at = [ranks[k] for k in self.hash.keys]
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.bytes_of = {str(r): t for t, r in ranks.items()}
+        self.cut = regex.compile(r"\s*\S+|\s+").findall if pattern in CUTTABLE else None
         #: Rank of what two neighbouring pieces, by rank, merge to.
-        self.pair = {}
+        self.pair = [{} for _ in range(max(ranks.values()) + 1)]
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    self.pair[a << 20 | b] = rank
+                    self.pair[a][b] = rank
+        self.hash = PerfectHash(list(ranks))
+        self.rank_at = [ranks[k] for k in self.hash.keys]
+        self.byte = [ranks[bytes([b])] for b in range(256)]
+        self.bytes_of = {str(r): t for t, r in ranks.items()}
+        #: The same of two bytes.
+        self.first = {(a, b): r for a in range(256) for b in range(256) if (r := self.pair[self.byte[a]].get(self.byte[b])) is not None}
         self.seen: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.whole, self.spaced = Spans(self, ""), Spans(self, " ")
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece that is no entry: a heap of (rank, place) over linked bytes."""
-        pair, n = self.pair.get, len(piece)
-        ids = [self.byte[b] for b in piece]
+        pair, n = self.pair, len(piece)
+        bits = 14 if n < 1 << 14 else 32
+        low = (1 << bits) - 1
+        ids = list(map(self.byte.__getitem__, piece))
+        #: What each piece and the next one merge to now; an entry of the heap that says otherwise is stale.
+        now = list(map(self.first.get, zip(piece, piece[1:], strict=False)))
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        heap = []
-        last = ids[0]
-        for i in range(1, n):
-            r = pair(last << 20 | (last := ids[i]))
-            if r is not None:
-                heap.append(r << 32 | i - 1)
+        heap = [r << bits | i for i, r in enumerate(now) if r is not None]
+        now.append(None)
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i = top & 0xFFFFFFFF
-            j = after[i]
-            if j >= n or ids[i] < 0 or pair(ids[i] << 20 | ids[j]) != top >> 32:
+            i, rank = top & low, top >> bits
+            if now[i] != rank:
                 continue
-            ids[i], ids[j] = top >> 32, -1
+            j = after[i]
+            ids[i], ids[j], now[j] = rank, -1, None
             after[i] = j = after[j]
+            r = None
             if j < n:
                 before[j] = i
-                r = pair(ids[i] << 20 | ids[j])
+                r = pair[rank].get(ids[j])
                 if r is not None:
-                    heappush(heap, r << 32 | i)
+                    heappush(heap, r << bits | i)
+            now[i] = r
             j = before[i]
             if j >= 0:
-                r = pair(ids[j] << 20 | ids[i])
+                now[j] = r = pair[ids[j]].get(rank)
                 if r is not None:
-                    heappush(heap, r << 32 | j)
+                    heappush(heap, r << bits | j)
         return [x for x in ids if x >= 0]
 
     def known(self, token: str) -> str:
         """The token's ids as text, joined by a space."""
         got = self.seen.get(token)
         if got is None:
-            piece = token.encode()
-            s = self.hash.slot(piece)
-            got = str(self.rank_at[s]) if s >= 0 else " ".join(map(str, self.merge(piece)))
+            got = self.older.get(token)
+            if got is None:
+                piece = token.encode()
+                s = self.hash.slot(piece)
+                got = str(self.rank_at[s]) if s >= 0 else " ".join(map(str, self.merge(piece)))
             if len(token) <= 64:
                 if len(self.seen) >= CACHE:
-                    self.seen.clear()
+                    self.older, self.seen = self.seen, {}
                 self.seen[token] = got
         return got
 
@@ -159,22 +208,32 @@ class Codec:
         return [int(i) for t in self.findall(text) for i in self.known(t).split(" ")]
 
     def decode(self, ids) -> bytes:
-        return b"".join([self.bytes_of[str(i)] for i in ids])
-
-    def pieces(self, text: str) -> Iterator[list[str]]:
-        """The text's ids as text, a bounded number at a time."""
-        if len(text) <= 1 << 18:
-            found = iter([self.findall(text)])
-        else:
-            found = batched((m.group() for m in self.finditer(text)), 1 << 16)
-        seen = self.seen
-        for part in found:
+        return b"".join(map(self.bytes_of.__getitem__, map(str, ids)))
+
+    def pieces(self, text: str) -> Iterator[tuple[str, bytes]]:
+        """The text's ids as text and the bytes they decode to, a bounded number at a time."""
+        if len(text) > 1 << 18 or not self.cut:
+            for part in batched((m.group() for m in self.finditer(text)), 1 << 16):
+                ids = " ".join(map(self.known, part))
+                yield ids, self.decode(ids.split(" "))
+        elif text:
+            whole, spaced = self.whole, self.spaced
             try:
-                got = [seen[t] for t in part]
-            except KeyError:
-                got = [self.known(t) for t in part]
-            if got:
-                yield " ".join(got)
+                first, *rest = text.split(" ")
+                last = [" " + rest.pop()] if rest else []
+                if last and first[-1:].isspace():
+                    raise Uncut
+                said = lambda a, b: [*map(a.__getitem__, [first] * bool(first)), *map(b.__getitem__, rest), *map(a.__getitem__, last)]
+                yield " ".join(said(whole, spaced)), b"".join(said(whole.back, spaced.back))
+            except Uncut:
+                spans = self.cut(text)
+                yield " ".join(map(whole.__getitem__, spans)), b"".join(map(whole.back.__getitem__, spans))
+            whole.trim()
+            spaced.trim()
+
+    def forget(self) -> None:
+        self.seen, self.older = {}, {}
+        self.whole, self.spaced = Spans(self, ""), Spans(self, " ")
 
 
 @lru_cache(2)
@@ -188,13 +247,14 @@ def default_vocabulary() -> tuple[str, str]:
     return P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, warm: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row of docs.
 
     Pre-tokens are the pattern's matches, each encoded by itself; no special
     tokens. decoded_sha256 is of the bytes that the ids decode to. Null text is
     empty: no tokens. Repeated rows each come back; an empty table gives no
-    rows. Other columns play no part, whatever their names.
+    rows. Other columns play no part, whatever their names. warm: a task leaves its
+    tables to the worker's next one, for jobs in which nothing else needs the memory.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -206,20 +266,20 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 n, ih, dh, full = [], [], [], []
                 for text in part.column(1):
                     count, said, back, kept = 0, hashlib.sha256(), hashlib.sha256(), []
-                    for piece in c.pieces(text.as_py() or ""):
+                    for piece, decoded in c.pieces(text.as_py() or ""):
                         said.update((" " + piece if count else piece).encode())
-                        parts = piece.split(" ")
-                        count += len(parts)
-                        back.update(b"".join(map(c.bytes_of.__getitem__, parts)))
+                        count += piece.count(" ") + 1
+                        back.update(decoded)
                         if ids:
-                            kept += map(int, parts)
+                            kept += map(int, piece.split(" "))
                     n.append(count)
                     ih.append(said.hexdigest())
                     dh.append(back.hexdigest())
                     full.append(kept)
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(ih), pa.array(dh)] + ([pa.array(full, pa.list_(pa.int32()))] if ids else [])
                 yield pa.RecordBatch.from_arrays(cols, names)
-        c.seen.clear()
+        if not warm:
+            c.forget()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
     tune(docs.sparkSession)

@@ -1,9 +1,11 @@
 """Words built so that a polynomial hash modulo a power of two confuses them are told apart by the operators that hash words."""
 
+import random
+
 import numpy as np
 
 from sievelake.llm import arrays as A
-from sievelake.llm import licences, near_dup
+from sievelake.llm import bpe, licences, near_dup
 from test_llm import frame
 
 
@@ -30,3 +32,24 @@ def test_hashes_differ():
         assert h[0] != h[1]
         low = [np.frombuffer(w.encode(), np.uint8) for w in pair(n)]
         assert len({int(A.word_hashes(x, np.array([0]), np.array([len(x)]))[0]) for x in low}) == 2
+
+
+def test_bpe_matches_a_span_once_and_cuts_nothing(monkeypatch):
+    c = bpe.Codec(*bpe.default_vocabulary())
+    matched, find = [], c.findall
+    monkeypatch.setattr(c, "findall", lambda text: matched.append(len(text)) or find(text))
+    said = list(c.pieces("naïve words, don't " * 2000))
+    assert sum(matched) < 100 and b"".join(x[1] for x in said) == ("naïve words, don't " * 2000).encode()
+    rng = random.Random(4)
+    odd = [" ", " ", "  ", "\n", "\t", "\x1c", "\x85", "　", "a", "bé", "don't", "'s", "1", "²", "!?", "日本", "́", "​", "y" * 70, " 'll"]
+    for cache in (bpe.CACHE, 20):
+        monkeypatch.setattr(bpe, "CACHE", cache)
+        for _ in range(3000):
+            text = "".join(rng.choice(odd) for _ in range(rng.randrange(14)))
+            want = []
+            for t in find(text):
+                s = c.hash.slot(t.encode())
+                want += [c.rank_at[s]] if s >= 0 else c.merge(t.encode())
+            got = list(c.pieces(text))
+            assert " ".join(x[0] for x in got) == " ".join(map(str, want)) and b"".join(x[1] for x in got) == text.encode()
+    assert not [s for s in c.whole if len(s) > 64]
