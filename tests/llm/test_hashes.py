@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from sievelake.llm import arrays as A
 from sievelake.llm import bpe, licences, near_dup
@@ -53,3 +54,30 @@ def test_bpe_matches_a_span_once_and_cuts_nothing(monkeypatch):
             got = list(c.pieces(text))
             assert " ".join(x[0] for x in got) == " ".join(map(str, want)) and b"".join(x[1] for x in got) == text.encode()
     assert not [s for s in c.whole if len(s) > 64]
+
+
+def test_bpe_lays_out_spans_and_matches_no_plain_words(monkeypatch):
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = bpe.default_vocabulary()
+    c = bpe.Codec(path, pattern)
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=dict(zip(c.hash.keys, c.rank_at, strict=True)), special_tokens={})
+    matched, find = [], c.findall
+    monkeypatch.setattr(c, "findall", lambda text: matched.append(text) or find(text))
+    text = "Qxertherq, qxertherq. Qxertherq\nciónasñ (qxertherq) 12,5:\n" * 50
+    assert c.encode(text) == enc.encode_ordinary(text)
+    assert max(map(len, matched), default=0) < 10, "words, numbers and points are told apart without the pattern"
+    for chars in (range(0x3100), range(0xF900, 0x10000, 7), range(0x10000, 0x20000, 97)):
+        for ch in map(chr, chars):
+            text = f"a{ch} b 1{ch}2 .{ch}. '{ch} {ch}{ch} x{ch}\nq'{ch}s"
+            assert c.encode(text) == enc.encode_ordinary(text), text
+    texts = ["", "a  b", "", "one two, three" * 9, "x" * 70 + " don't", ""]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(t.encode()) for t in texts])
+    for window in (1, 2, 5, bpe.WINDOW):
+        monkeypatch.setattr(bpe, "WINDOW", window)
+        got = [([], b"", b"") for _ in texts]
+        for row, ids, said, back in c.runs(buf, np.append(0, ends[:-1]), ends):
+            a, b, d = got[row]
+            got[row] = [*a, *ids.tolist()], b + bytes(said), d + bytes(back)
+        assert [x for x, _, _ in got] == [enc.encode_ordinary(t) for t in texts]
+        assert all(s.decode() == "".join(f" {i}" for i in x) and d == t.encode() for t, (x, s, d) in zip(texts, got, strict=True))
